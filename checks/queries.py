@@ -18,7 +18,7 @@ from tripweave.operators.spatial import assign_zone
 from tripweave.plans import departure as dep
 from tripweave.plans import od as od_plan
 from tripweave.plans import surveys as survey_plan
-from tripweave.plans.presets import MODULAR, PRESETS, RAW, Preset, Sampling, TripFilter, preset
+from tripweave.plans.presets import INFORMED, MODULAR, PRESETS, RAW, Preset, Sampling, TripFilter, preset
 from tripweave.sources import (
     HourlyDistribution,
     read_hourly_distribution,
@@ -290,12 +290,14 @@ def survey_valid_trips(t: Tables) -> DataFrame:
 
 @query("survey_hw_tours")
 def survey_hw_tours(t: Tables) -> DataFrame:
-    return survey.tour_legs(survey.valid_trips(t.survey), *survey.work_tour())
+    legs = survey.tour_legs(survey.valid_trips(t.survey), {"hw": survey.work_tour()})
+    return legs.drop("series")
 
 
 @query("survey_ho_tours")
 def survey_ho_tours(t: Tables) -> DataFrame:
-    return survey.tour_legs(survey.valid_trips(t.survey), *survey.other_tour())
+    legs = survey.tour_legs(survey.valid_trips(t.survey), {"ho": survey.other_tour()})
+    return legs.drop("series")
 
 
 def _register_survey_hours(series: str) -> None:
@@ -415,9 +417,14 @@ def _profile(df: DataFrame) -> DataFrame:
 
 
 def _named(t: Tables, names) -> list[Preset]:
-    """Presets informed by the hours of the survey tables."""
-    hours = HourlyDistribution.by_series(survey_plan.all_hour_shares(t.survey))
-    return [preset(n).informed_by(hours[preset(n).survey]) for n in names]
+    """Presets informed, where they need it, by the hours of the survey tables."""
+    presets = [preset(n) for n in names]
+    informed = {p.survey for p in presets if p.sampling.strategy == INFORMED}
+    if not informed:
+        return presets
+    shares = survey_plan.all_hour_shares(t.survey, series=tuple(sorted(informed)))
+    hours = HourlyDistribution.by_series(shares)
+    return [p.informed_by(hours[p.survey]) if p.survey in hours else p for p in presets]
 
 
 @query("hourly_profile_raw")
@@ -542,6 +549,6 @@ def scalar_kit(t: Tables) -> DataFrame:
         F.round(fn.log10_positive(balance), 6).alias("log_balance"),
         fn.fill_int(F.when(balance > 0, balance)).alias("filled"),
         F.round(balance / 7, 2).alias("two_decimals"),
-        fn.hour_of(fn.local_seconds(key * 4567)).alias("hour_of_day"),
-        fn.date_of(fn.local_seconds(key * 45678)).cast("string").alias("day"),
+        F.expr(fn.hour_of(fn.local_seconds("c_custkey * 4567"))).alias("hour_of_day"),
+        F.expr(fn.date_of(fn.local_seconds("c_custkey * 45678"))).cast("string").alias("day"),
     )

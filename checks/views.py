@@ -130,14 +130,14 @@ class Tables:
             "population",
             F.col("zone_ord").cast("bigint").alias("zone_ord"),
             F.expr(_SQUARE).alias("rings"),
-        ).withColumns(bounds(F.col("rings")))
+        ).withColumns(bounds())
 
     @property
     def fine_zones(self) -> DataFrame:
         """Many overlapping zones; their number grows with the customers."""
         return self._derive("fine_zones").select(
             "geomid", "population", "zone_ord", F.expr(_DIAMOND).alias("rings")
-        ).withColumns(bounds(F.col("rings")))
+        ).withColumns(bounds())
 
     @property
     def anchors(self) -> DataFrame:

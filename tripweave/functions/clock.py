@@ -1,26 +1,24 @@
 """Hours and dates from epoch seconds, independent of the session time zone.
 
 Epochs are first shifted to "local seconds" (seconds since 1970 on the wall
-clock of a named zone); hours and dates are then plain arithmetic.
+clock of a named zone); hours and dates are then plain arithmetic. Arguments
+and results are SQL text, so that a long expression is built in one piece.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def local_seconds(epoch: Column, zone: str = "UTC") -> Column:
+def local_seconds(epoch: str, zone: str = "UTC") -> str:
     """Whole wall-clock seconds of ``zone`` for an epoch in seconds."""
-    seconds = F.floor(epoch)
+    seconds = f"floor({epoch})"
     if zone == "UTC":
         return seconds
-    return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(seconds), zone))
+    return f"unix_seconds(from_utc_timestamp(timestamp_seconds({seconds}), '{zone}'))"
 
 
-def hour_of(local: Column) -> Column:
-    return F.pmod(F.floor(local / 3600), F.lit(24)).cast("int")
+def hour_of(local: str) -> str:
+    return f"cast(pmod(floor({local} / 3600), 24) as int)"
 
 
-def date_of(local: Column) -> Column:
-    return F.date_from_unix_date(F.floor(local / 86400).cast("int"))
+def date_of(local: str) -> str:
+    return f"date_from_unix_date(cast(floor({local} / 86400) as int))"

@@ -1,7 +1,8 @@
-"""Polygon expressions over ``rings array<array<struct<x,y>>>``.
+"""Polygon expressions over ``rings array<array<struct<x,y>>>``, as SQL text.
 
 Rings are closed (first vertex repeated last). Holes and the parts of a
 multipolygon are further rings of the same zone under the even-odd rule.
+Edges are ``array<struct<x1,y1,x2,y2>>``.
 """
 
 from __future__ import annotations
@@ -9,74 +10,52 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RINGS_TYPE = "array<array<struct<x:double,y:double>>>"
 
+def ring_edges(rings: str) -> str:
+    return f"""
+flatten(transform(filter({rings}, r -> size(r) > 1), r ->
+  transform(sequence(1, size(r) - 1), i -> named_struct(
+    'x1', r[i - 1].x, 'y1', r[i - 1].y, 'x2', r[i].x, 'y2', r[i].y))))"""
 
-def ring_edges(rings: Column) -> Column:
-    """All edges as one ``array<struct<x1,y1,x2,y2>>``."""
 
-    def edges(ring: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(ring) - 1),
-            lambda i: F.struct(
-                ring[i - 1]["x"].alias("x1"),
-                ring[i - 1]["y"].alias("y1"),
-                ring[i]["x"].alias("x2"),
-                ring[i]["y"].alias("y2"),
-            ),
-        )
-
-    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 1), edges))
-
-
-def bounds(rings: Column) -> dict[str, Column]:
+def bounds(rings: str = "rings") -> dict[str, Column]:
     """Bounding box columns ``minx, miny, maxx, maxy``."""
-    xs = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["x"])))
-    ys = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["y"])))
     return {
-        "minx": F.array_min(xs),
-        "miny": F.array_min(ys),
-        "maxx": F.array_max(xs),
-        "maxy": F.array_max(ys),
+        f"{end}{axis}": F.expr(
+            f"array_{end}(transform({rings}, r -> array_{end}(transform(r, p -> p.{axis}))))"
+        )
+        for axis in "xy"
+        for end in ("min", "max")
     }
 
 
-def _crosses(e: Column, x: Column, y: Column) -> Column:
-    """The ray from (x, y) towards +x crosses the edge."""
-    straddles = (e["y1"] > y) != (e["y2"] > y)
-    at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
-    return F.when(straddles, x < at).otherwise(False)
-
-
-def _touches(e: Column, x: Column, y: Column) -> Column:
-    """(x, y) lies on the edge."""
-    cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-    return (
-        (cross == 0)
-        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-    )
+def inside(edges: str, x: str, y: str) -> str:
+    """Even-odd containment; points on an edge may fall either way."""
+    return f"""
+(size(filter({edges}, e -> if((e.y1 > {y}) <> (e.y2 > {y}),
+   {x} < (e.x2 - e.x1) * ({y} - e.y1) / (e.y2 - e.y1) + e.x1, false))) % 2 = 1)"""
 
 
-def inside(edges: Column, x: Column, y: Column) -> Column:
-    """Even-odd containment; points on an edge may fall either way."""
-    return F.size(F.filter(edges, lambda e: _crosses(e, x, y))) % 2 == 1
+def on_edge(edges: str, x: str, y: str) -> str:
+    return f"""
+exists({edges}, e ->
+  {x} between least(e.x1, e.x2) and greatest(e.x1, e.x2)
+  and {y} between least(e.y1, e.y2) and greatest(e.y1, e.y2)
+  and (e.x2 - e.x1) * ({y} - e.y1) = (e.y2 - e.y1) * ({x} - e.x1))"""
 
 
-def strictly_inside(edges: Column, x: Column, y: Column) -> Column:
+def strictly_inside(edges: str, x: str, y: str) -> str:
     """Containment that excludes the boundary."""
-    return inside(edges, x, y) & ~F.exists(edges, lambda e: _touches(e, x, y))
+    return f"({inside(edges, x, y)} and not {on_edge(edges, x, y)})"
 
 
-def meets_box(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """The edge's own box meets the closed box."""
-    return right_of_box(e, x0, y0, y1) & (F.least(e["x1"], e["x2"]) <= x1)
+def edges_near_box(edges: str) -> str:
+    """Edges that a +x ray from the box ``x0, y0, x1, y1`` can cross or touch."""
+    return f"""
+filter({edges}, e -> greatest(e.x1, e.x2) >= x0
+  and greatest(e.y1, e.y2) >= y0 and least(e.y1, e.y2) <= y1)"""
 
 
-def right_of_box(e: Column, x0: Column, y0: Column, y1: Column) -> Column:
-    """The edge can be crossed by, or touch, a +x ray that starts in the box."""
-    return (
-        (F.greatest(e["x1"], e["x2"]) >= x0)
-        & (F.greatest(e["y1"], e["y2"]) >= y0)
-        & (F.least(e["y1"], e["y2"]) <= y1)
-    )
+def box_is_clear(near: str) -> str:
+    """None of the edges near the box has a box of its own that meets it."""
+    return f"(not exists({near}, e -> least(e.x1, e.x2) <= x1))"

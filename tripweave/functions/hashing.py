@@ -6,17 +6,19 @@ the same numbers, and plain SQL can recompute them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 _HEX_WORD = 8
-_WORD_RANGE = float(2**32)
+_WORD_RANGE = 2**32
 
 
-def hash_uniforms(*keys: Column, salt: str, count: int = 1) -> list[Column]:
-    """``count`` (at most 4) uniforms in [0, 1) from one digest of the keys."""
+def hash_uniforms(*keys: str, salt: str, count: int = 1) -> list[str]:
+    """SQL text of ``count`` (at most 4) uniforms in [0, 1) from one digest."""
     if not 1 <= count <= 4:
         raise ValueError("one digest holds four 32-bit words")
-    digest = F.md5(F.concat_ws(":", *[k.cast("string") for k in keys], F.lit(salt)))
-    words = (F.substring(digest, 1 + _HEX_WORD * i, _HEX_WORD) for i in range(count))
-    return [F.conv(w, 16, 10).cast("double") / _WORD_RANGE for w in words]
+    if not salt.replace("_", "").isalnum():
+        raise ValueError("a salt is letters, digits and underscores")
+    digest = f"md5(concat_ws(':', {', '.join(keys)}, '{salt}'))"
+    return [
+        f"(cast(conv(substring({digest}, {1 + _HEX_WORD * i}, {_HEX_WORD}), 16, 10) as double)"
+        f" / {_WORD_RANGE}D)"
+        for i in range(count)
+    ]

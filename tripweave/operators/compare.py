@@ -117,25 +117,16 @@ def series_overlay(profiles: DataFrame, surveys: DataFrame) -> DataFrame:
     )
 
 
-def dtw(x: Column, y: Column) -> Column:
-    """Dynamic time warping distance of two numeric arrays, absolute cost."""
-    infinity = F.lit(float("inf"))
-    top = F.concat(F.array(F.lit(0.0)), F.transform(y, lambda _: infinity))
-
-    def next_row(above: Column, xi: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(y)),
-            F.array(infinity),
-            lambda row, j: F.concat(
-                row,
-                F.array(
-                    F.abs(xi - F.get(y, j - 1))
-                    + F.least(F.get(above, j), F.get(row, j - 1), F.get(above, j - 1))
-                ),
-            ),
-        )
+def dtw(x: str, y: str) -> Column:
+    """Dynamic time warping distance of two numeric arrays, absolute cost.
 
-    return F.get(F.aggregate(x, top, next_row), F.size(y))
+    Folds ``x`` over one row of the cost table at a time.
+    """
+    infinity = "double('infinity')"
+    return F.expr(f"""
+aggregate({x}, array(0D) || transform({y}, v -> {infinity}), (above, a) ->
+  aggregate(sequence(1, size({y})), array({infinity}), (row, j) ->
+    row || array(abs(a - {y}[j - 1]) + least(above[j], row[j - 1], above[j - 1]))))[size({y})]""")
 
 
 def dtw_pairs(profiles: DataFrame, surveys: DataFrame, pairing: DataFrame) -> DataFrame:
@@ -145,12 +136,12 @@ def dtw_pairs(profiles: DataFrame, surveys: DataFrame, pairing: DataFrame) -> Da
     when it is joined.
     """
     left = series_points(profiles, ("series",), "trip_start_hour", "percentage_of_trips").select(
-        "series", interpolated(F.col("points")).alias("x")
+        "series", interpolated().alias("x")
     )
     right = series_points(surveys, ("series",), "hour", "percentage").select(
-        F.col("series").alias("survey"), interpolated(F.col("points")).alias("y")
+        F.col("series").alias("survey"), interpolated().alias("y")
     )
-    distance = dtw(F.col("x"), F.col("y"))
+    distance = dtw("x", "y")
     return (
         left.join(pairing, "series")
         .join(right, "survey")

@@ -11,15 +11,21 @@ HOURS = 24
 def hourly_profile(trips: DataFrame, by: tuple[str, ...] = (), hour: str = "trip_start_hour") -> DataFrame:
     """Trips and share per hour: always 24 rows per series, zeros included.
 
+    ``rounded_share`` is relative to all trips, with or without an hour.
+    """
+    return fill_hours(hour_counts(trips, by, hour), by)
+
+
+def hour_counts(trips: DataFrame, by: tuple[str, ...] = (), hour: str = "trip_start_hour") -> DataFrame:
+    """``counts`` (24 slots) and ``all_trips`` per series.
+
     The 24 counters are one aggregate, so the zero hours need no join and the
-    share no second pass. ``rounded_share`` is relative to all trips, with or
-    without an hour.
+    shares no second pass.
     """
-    counters = [F.count_if(F.col(hour) == h) for h in range(HOURS)]
-    totals = trips.groupBy(*by).agg(
-        F.array(*counters).alias("counts"), F.count("*").alias("all_trips")
+    counters = ", ".join(f"count_if({hour} = {h})" for h in range(HOURS))
+    return trips.groupBy(*by).agg(
+        F.expr(f"array({counters})").alias("counts"), F.count("*").alias("all_trips")
     )
-    return fill_hours(totals, by)
 
 
 def fill_hours(totals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -38,14 +44,13 @@ def fill_hours(totals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def hour_spine(profile: DataFrame, by: tuple[str, ...] = (), value: str = "trip_count") -> DataFrame:
     """Complete ``trip_start_hour, value`` rows to the hours 0..23 with zeros."""
-    slots = [
-        F.coalesce(F.sum(F.when(F.col("trip_start_hour") == h, F.col(value))), F.lit(0))
-        .cast(profile.schema[value].dataType)
-        for h in range(HOURS)
-    ]
+    zero = f"cast(0 as {profile.schema[value].dataType.simpleString()})"
+    slots = ", ".join(
+        f"coalesce(sum(if(trip_start_hour = {h}, {value}, null)), {zero})" for h in range(HOURS)
+    )
     return (
         profile.groupBy(*by)
-        .agg(F.array(*slots).alias("slots"))
+        .agg(F.expr(f"array({slots})").alias("slots"))
         .select(*by, F.posexplode("slots").alias("trip_start_hour", value))
     )
 
@@ -75,22 +80,19 @@ def series_points(series: DataFrame, by: tuple[str, ...], hour: str, value: str)
     )
 
 
-def interpolated(points: Column) -> Column:
+def interpolated(points: str = "points") -> Column:
     """24 values by linear interpolation, flat beyond the first and last point."""
-
-    def at(h: Column) -> Column:
-        lower = F.get(F.filter(points, lambda p: p["hour"] <= h), F.size(F.filter(points, lambda p: p["hour"] <= h)) - 1)
-        upper = F.get(F.filter(points, lambda p: p["hour"] >= h), F.lit(0))
-        step = (upper["value"] - lower["value"]) * F.try_divide(
-            h - lower["hour"], upper["hour"] - lower["hour"]
-        )
-        return F.coalesce(lower["value"] + step, lower["value"], upper["value"])
-
-    return F.transform(F.sequence(F.lit(0), F.lit(HOURS - 1)), at)
+    lower = f"element_at(array(null) || filter({points}, p -> p.hour <= h), -1)"
+    upper = f"get(filter({points}, p -> p.hour >= h), 0)"
+    return F.expr(f"""
+transform(sequence(0, {HOURS - 1}), h ->
+  transform(array(named_struct('lo', {lower}, 'hi', {upper})), n -> coalesce(
+    n.lo.value + (n.hi.value - n.lo.value) * try_divide(h - n.lo.hour, n.hi.hour - n.lo.hour),
+    n.lo.value, n.hi.value))[0])""")
 
 
 def interp_hours(series: DataFrame, by: tuple[str, ...], hour: str = "hour", value: str = "percentage") -> DataFrame:
     """Series on the hours 0..23."""
     return series_points(series, by, hour, value).select(
-        *by, F.posexplode(interpolated(F.col("points"))).alias("hour", value)
+        *by, F.posexplode(interpolated()).alias("hour", value)
     )

@@ -6,17 +6,16 @@ begins) into the epoch second of departure, as one column expression.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tripweave.functions import hash_uniforms, hour_of, local_seconds
-from tripweave.sources.distributions import HOURS, HourlyDistribution
+from tripweave.sources.distributions import HourlyDistribution
 
 DEFAULT_SALT = "departure"
-_HOUR, _DAY = 3600, 86400
+_KEY = ("uid", "stop_event")
 
 
 def raw_departure() -> Column:
@@ -24,9 +23,8 @@ def raw_departure() -> Column:
 
 
 def uniform_departure(salt: str = DEFAULT_SALT) -> Column:
-    (u,) = hash_uniforms(F.col("uid"), F.col("stop_event"), salt=salt)
-    gap = F.col("next_start") - F.col("end_timestamp")
-    return F.col("end_timestamp") + gap * u
+    (u,) = hash_uniforms(*_KEY, salt=salt)
+    return F.expr(f"end_timestamp + (next_start - end_timestamp) * {u}")
 
 
 def informed_departure(
@@ -37,25 +35,33 @@ def informed_departure(
     The drawn time lies on the day the stop ended and is clipped into the gap.
     Without a whole hour in the gap the draw is uniform. All arithmetic is in
     wall-clock seconds of ``zone``; the shift is applied to the epoch at the end.
+
+    ``transform(array(v), g -> ...)[0]`` names a value ``g`` that is computed
+    once per row.
     """
-    u_hour, u_minute, u_gap = hash_uniforms(
-        F.col("uid"), F.col("stop_event"), salt=salt, count=3
+    u_hour, u_minute, u_gap = hash_uniforms(*_KEY, salt=salt, count=3)
+    end = local_seconds("end_timestamp", zone)
+    start = local_seconds("next_start", zone)
+    gap = f"""
+named_struct('end', {end}, 'start', {start},
+  'first_mark', ceil({end} / 3600), 'last_mark', floor({start} / 3600))"""
+    marks = """
+named_struct('end', g.end, 'start', g.start, 'day', floor(g.end / 86400) * 86400,
+  'first', cast(g.first_mark - floor(g.first_mark / 24) * 24 as int),
+  'last', cast(g.last_mark - floor(g.first_mark / 24) * 24 as int))"""
+    drawn = f"""
+greatest(g.end, least(g.start,
+  g.day + {_draw_hour(distribution, u_hour)} * 3600 + floor({u_minute} * 60) * 60))"""
+    shift = f"""
+if(g.first > g.last, (g.start - g.end) * {u_gap}, cast({drawn} - g.end as double))"""
+    return F.expr(
+        f"end_timestamp + transform(transform(array({gap}), g -> {marks}), g -> {shift})[0]"
     )
-    end = local_seconds(F.col("end_timestamp"), zone)
-    start = local_seconds(F.col("next_start"), zone)
-    first_mark = F.ceil(end / _HOUR)
-    last_mark = F.floor(start / _HOUR)
-    hour = _draw_hour(first_mark, last_mark, distribution, u_hour)
-    drawn = F.floor(end / _DAY) * _DAY + hour * _HOUR + F.floor(u_minute * 60) * 60
-    clipped = F.greatest(end, F.least(start, drawn)).cast("double")
-    local = F.when(first_mark > last_mark, end + (start - end) * u_gap).otherwise(clipped)
-    return F.col("end_timestamp") + (local - end)
-
-
-def _draw_hour(
-    first_mark: Column, last_mark: Column, distribution: HourlyDistribution, u: Column
-) -> Column:
-    """Hour of day drawn from the marks ``first_mark..last_mark`` (hours since 1970).
+
+
+def _draw_hour(distribution: HourlyDistribution, u: str) -> str:
+    """Hour of day drawn from the marks ``g.first..g.last``, hours since the
+    midnight before the first.
 
     With C(h) the running sum of the hour weights, the marks up to hour h of day
     weigh ``days * C(h) + min(C(h), C(last)) - min(C(h), C(before first))``. The
@@ -63,53 +69,25 @@ def _draw_hour(
     so its cost does not grow with the length of the gap.
     """
     weights = distribution.weights()
-    running = list(accumulate(weights))
-    table = F.array(*[F.lit(r) for r in [0.0, *running]])
-    through_hour = F.array(*[F.lit(r) for r in running])
-
-    day_start = F.floor(first_mark / HOURS) * HOURS
-    gap = F.struct(
-        (first_mark - day_start).cast("int").alias("first"),
-        (last_mark - day_start).cast("int").alias("last"),
-        u.alias("u"),
-    )
-
-    def weigh(g: Column) -> Column:
-        days = F.floor(g["last"] / HOURS)
-        through = F.get(table, F.pmod(g["last"], F.lit(HOURS)) + 1)
-        before = F.get(table, g["first"])
-        return F.struct(
-            days.alias("days"),
-            through.alias("through"),
-            before.alias("before"),
-            (days * running[-1] + through - before).alias("total"),
-            *[g[n].alias(n) for n in ("u", "first", "last")],
-        )
-
-    def draw(g: Column) -> Column:
-        drawn = F.size(
-            F.filter(
-                through_hour,
-                lambda c: g["days"] * c + F.least(c, g["through"]) - F.least(c, g["before"])
-                <= g["u"] * g["total"],
-            )
-        )
-        if min(weights) > 0:
-            return drawn
-        evenly = F.floor(g["u"] * (g["last"] - g["first"] + 1)).cast("int")
-        return F.when(g["total"] > 0, drawn).otherwise(F.pmod(g["first"] + evenly, F.lit(HOURS)))
-
-    return _let(_let(gap, weigh), draw)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def departure_hour(departure: Column, zone: str = "UTC") -> Column:
-    return hour_of(local_seconds(departure, zone))
-
-
-def departure_timestamp(departure: Column) -> Column:
-    return F.timestamp_seconds(F.floor(departure))
+    running = [f"{r!r}D" for r in accumulate(weights)]
+    through_hour = f"array({', '.join(running)})"
+    table = f"array(0D, {', '.join(running)})"
+    sums = f"""
+named_struct('days', floor(g.last / 24), 'through', {table}[pmod(g.last, 24) + 1],
+  'before', {table}[g.first], 'u', {u})"""
+    total = f"(s.days * {running[-1]} + s.through - s.before)"
+    drawn = f"""
+size(filter({through_hour}, c ->
+  s.days * c + least(c, s.through) - least(c, s.before) <= s.u * {total}))"""
+    if min(weights) <= 0:
+        evenly = "pmod(g.first + cast(floor(s.u * (g.last - g.first + 1)) as int), 24)"
+        drawn = f"if({total} > 0, {drawn}, {evenly})"
+    return f"transform(array({sums}), s -> {drawn})[0]"
+
+
+def departure_hour(departure: str = "departure", zone: str = "UTC") -> Column:
+    return F.expr(hour_of(local_seconds(departure, zone)))
+
+
+def departure_timestamp(departure: str = "departure") -> Column:
+    return F.expr(f"timestamp_seconds(floor({departure}))")

@@ -8,19 +8,21 @@ that a ray from that cell can meet.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.functions.geometry import (
     bounds,
+    box_is_clear,
+    edges_near_box,
     inside,
-    meets_box,
-    right_of_box,
     ring_edges,
     strictly_inside,
 )
 from tripweave.operators.sizing import BROADCAST_BYTES, fits_broadcast
-from tripweave.operators.zones import latest_shapes
+from tripweave.operators.zones import Extent, latest_shapes
 
 MAX_CELLS_PER_SIDE = 1024
 _CELL = ("cell_x", "cell_y")
@@ -28,22 +30,38 @@ _EDGE_BYTES = 40
 _ROW_BYTES = 96
 
 
-def grid_cell_size(zones: DataFrame) -> float:
-    """Median zone width, kept large enough to bound the cells per zone."""
+class ZoneFrame(NamedTuple):
+    """The box around all zones and a cell size that suits them."""
+
+    extent: Extent
+    cell: float
+
+
+def zone_frame(zones: DataFrame) -> ZoneFrame:
+    """One pass over the zones.
+
+    The cell is the median zone width, kept large enough to bound the number of
+    cells a zone can cover.
+    """
     row = zones.agg(
-        F.percentile_approx(F.col("maxx") - F.col("minx"), 0.5).alias("w"),
-        F.percentile_approx(F.col("maxy") - F.col("miny"), 0.5).alias("h"),
-        (F.max("maxx") - F.min("minx")).alias("extent_w"),
-        (F.max("maxy") - F.min("miny")).alias("extent_h"),
+        *[getattr(F, end[:3])(end).alias(end) for end in Extent._fields],
+        F.percentile_approx(F.col("maxx") - F.col("minx"), 0.5).alias("width"),
+        F.percentile_approx(F.col("maxy") - F.col("miny"), 0.5).alias("height"),
     ).first()
-    if row["w"] is None:
-        return 1.0
-    floor = max(row["extent_w"], row["extent_h"]) / MAX_CELLS_PER_SIDE
-    return max(min(row["w"], row["h"]), floor) or 1.0
+    extent = Extent(*[row[end] for end in Extent._fields])
+    if row["width"] is None:
+        return ZoneFrame(extent, 1.0)
+    side = max(extent.maxx - extent.minx, extent.maxy - extent.miny)
+    cell = max(min(row["width"], row["height"]), side / MAX_CELLS_PER_SIDE)
+    return ZoneFrame(extent, cell or 1.0)
+
+
+def _cell_index(coordinate: str, cell: float) -> str:
+    return f"cast(floor({coordinate} / {cell!r}D) as int)"
 
 
-def _cell_index(coordinate: Column, cell: float) -> Column:
-    return F.floor(coordinate / F.lit(cell)).cast("int")
+def _cell_range(low: str, high: str, cell: float) -> Column:
+    return F.explode(F.expr(f"sequence({_cell_index(low, cell)}, {_cell_index(high, cell)})"))
 
 
 def zone_cells(zones: DataFrame, cell: float) -> DataFrame:
@@ -51,46 +69,29 @@ def zone_cells(zones: DataFrame, cell: float) -> DataFrame:
 
     ``solid`` cells lie wholly inside the zone and carry no edges.
     """
-    pad = cell * 1e-9
-    shapes = (
+    size, pad = f"{cell!r}D", f"{cell * 1e-9!r}D"
+    return (
         latest_shapes(zones)
-        .withColumns({**bounds(F.col("rings")), "all_edges": ring_edges(F.col("rings"))})
-        .drop("rings")
-    )
-    cells = (
-        shapes.withColumn(
-            "cell_x",
-            F.explode(F.sequence(_cell_index(F.col("minx"), cell), _cell_index(F.col("maxx"), cell))),
-        )
-        .withColumn(
-            "cell_y",
-            F.explode(F.sequence(_cell_index(F.col("miny"), cell), _cell_index(F.col("maxy"), cell))),
-        )
-        .withColumn("x0", F.col("cell_x") * F.lit(cell) - pad)
-        .withColumn("y0", F.col("cell_y") * F.lit(cell) - pad)
-        .withColumn("x1", (F.col("cell_x") + 1) * F.lit(cell) + pad)
-        .withColumn("y1", (F.col("cell_y") + 1) * F.lit(cell) + pad)
-        .withColumn(
-            "near",
-            F.filter(
-                "all_edges", lambda e: right_of_box(e, F.col("x0"), F.col("y0"), F.col("y1"))
-            ),
+        .withColumns({**bounds(), "all_edges": F.expr(ring_edges("rings"))})
+        .withColumn("cell_x", _cell_range("minx", "maxx", cell))
+        .withColumn("cell_y", _cell_range("miny", "maxy", cell))
+        .selectExpr(
+            *_CELL,
+            "zone_ord",
+            "geomid",
+            "all_edges",
+            f"cell_x * {size} - {pad} as x0",
+            f"cell_y * {size} - {pad} as y0",
+            f"(cell_x + 1) * {size} + {pad} as x1",
+            f"(cell_y + 1) * {size} + {pad} as y1",
         )
-        .withColumn(
-            "solid",
-            ~F.exists(
-                "near",
-                lambda e: meets_box(e, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")),
-            ),
+        .withColumn("near", F.expr(edges_near_box("all_edges")))
+        .withColumn("solid", F.expr(box_is_clear("near")))
+        .filter(f"not solid or {inside('near', '(x0 + x1) / 2', '(y0 + y1) / 2')}")
+        .selectExpr(
+            *_CELL, "zone_ord", "geomid", "solid", "if(solid, slice(near, 1, 0), near) as edges"
         )
-        .withColumn(
-            "centre_inside",
-            inside(F.col("near"), (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2),
-        )
-        .filter(~F.col("solid") | F.col("centre_inside"))
     )
-    edges = F.when(F.col("solid"), F.filter("near", lambda e: F.lit(False))).otherwise(F.col("near"))
-    return cells.select(*_CELL, "zone_ord", "geomid", "solid", edges.alias("edges"))
 
 
 def assign_zone(
@@ -114,7 +115,7 @@ def assign_zones(
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``assign_zone`` for several ``(lon, lat, out)`` against one zone grid."""
-    cell = cell or grid_cell_size(zones)
+    cell = cell or zone_frame(zones).cell
     cells = zone_cells(zones, cell)
     row_bytes = F.size("edges") * _EDGE_BYTES + _ROW_BYTES
     small = fits_broadcast(cells, row_bytes, broadcast_bytes)
@@ -137,15 +138,13 @@ def _assign_by_lookup(
     points: DataFrame, lookup: DataFrame, lon: str, lat: str, out: str, cell: float
 ) -> DataFrame:
     """Each point meets at most one lookup row, so no shuffle and no regrouping."""
-    x, y = F.col(lon), F.col(lat)
-    containing = F.filter(
-        "cell_zones", lambda z: z["solid"] | strictly_inside(z["edges"], x, y)
-    )
+    containing = f"filter(cell_zones, z -> z.solid or {strictly_inside('z.edges', lon, lat)})"
     return (
-        points.withColumn("cell_x", _cell_index(x, cell))
-        .withColumn("cell_y", _cell_index(y, cell))
+        points.withColumns(
+            {"cell_x": F.expr(_cell_index(lon, cell)), "cell_y": F.expr(_cell_index(lat, cell))}
+        )
         .join(lookup, list(_CELL), "left")
-        .withColumn(out, F.get(containing, F.lit(0))["geomid"])
+        .withColumn(out, F.expr(f"get({containing}, 0).geomid"))
         .drop(*_CELL, "cell_zones")
     )
 
@@ -158,14 +157,14 @@ def _assign_by_shuffle(
     Copies of one coordinate collapse before they meet the zones, and the two
     shuffled joins can be split by the adaptive skew handling.
     """
-    at = points.select(lon, lat).filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).distinct()
-    x, y = F.col(lon), F.col(lat)
+    at = points.select(lon, lat).na.drop().distinct()
     found = (
-        at.withColumn("cell_x", _cell_index(x, cell))
-        .withColumn("cell_y", _cell_index(y, cell))
+        at.withColumns(
+            {"cell_x": F.expr(_cell_index(lon, cell)), "cell_y": F.expr(_cell_index(lat, cell))}
+        )
         .join(cells, list(_CELL))
-        .filter(F.col("solid") | strictly_inside(F.col("edges"), x, y))
+        .filter(f"solid or {strictly_inside('edges', lon, lat)}")
         .groupBy(lon, lat)
-        .agg(F.min(F.struct("zone_ord", "geomid"))["geomid"].alias(out))
+        .agg(F.expr("min(named_struct('zone_ord', zone_ord, 'geomid', geomid)).geomid").alias(out))
     )
     return points.join(found, [lon, lat], "left")

@@ -6,6 +6,8 @@ people, weights are summed; rows are never repeated to be counted.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,39 +125,54 @@ def valid_trips(survey: DataFrame, weekday: bool = True) -> DataFrame:
     )
 
 
-def work_tour() -> tuple[Column, Column]:
-    """Outbound and return condition of home-work tours."""
-    outbound = (F.col("type_origin") == HOME_PLACE) & (F.col("purpose") == GO_TO_WORK)
-    inbound = (F.col("type_dest") == HOME_PLACE) & (F.col("purpose") == RETURN_HOME)
-    return outbound, inbound
+@dataclass(frozen=True)
+class Tour:
+    """Two legs of one person that share a place: out from home, and back.
+
+    The outbound leg ends at the kind of place where the return leg starts.
+    """
+
+    outbound: Column
+    inbound: Column
 
 
-def other_tour() -> tuple[Column, Column]:
-    """Outbound and return condition of home-other tours."""
-    outbound = (F.col("type_origin") == HOME_PLACE) & ~F.col("purpose").eqNullSafe(GO_TO_WORK)
-    inbound = F.col("type_dest") == HOME_PLACE
-    return outbound, inbound
+def work_tour() -> Tour:
+    return Tour(
+        outbound=(F.col("type_origin") == HOME_PLACE) & (F.col("purpose") == GO_TO_WORK),
+        inbound=(F.col("type_dest") == HOME_PLACE) & (F.col("purpose") == RETURN_HOME),
+    )
 
 
-def _legs(trips: DataFrame, outbound: Column, inbound: Column, strict_null: bool) -> DataFrame:
-    """One row per distinct leg with its link: the kind of place both legs share.
+def other_tour() -> Tour:
+    return Tour(
+        outbound=(F.col("type_origin") == HOME_PLACE) & ~F.col("purpose").eqNullSafe(GO_TO_WORK),
+        inbound=F.col("type_dest") == HOME_PLACE,
+    )
 
-    A tour is an outbound and a return leg of one person with the same link.
-    Distinct tours are all pairs of distinct legs, so legs are made distinct
-    here and pairs need not be formed.
+
+def _legs(trips: DataFrame, tours: dict[str, Tour], strict_null: bool) -> DataFrame:
+    """One row per distinct leg and role, with ``link``: the kind of place shared.
+
+    Distinct tours are all pairs of distinct legs of one (series, person, link),
+    so legs are made distinct here and the pairs need not be formed.
     """
-    outbound = F.coalesce(outbound, F.lit(False))
-    inbound = F.coalesce(inbound, F.lit(False))
-    roles = F.array_compact(
-        F.array(
-            F.when(outbound, F.struct(F.lit("outbound").alias("leg"), F.col("type_dest").alias("link"))),
-            F.when(inbound, F.struct(F.lit("return").alias("leg"), F.col("type_origin").alias("link"))),
+
+    def role(series: str, leg: str, link: str) -> Column:
+        return F.struct(
+            F.lit(series).alias("series"), F.lit(leg).alias("leg"), F.col(link).alias("link")
         )
-    )
+
+    roles, used = [], F.lit(False)
+    for series, tour in tours.items():
+        outbound = F.coalesce(tour.outbound, F.lit(False))
+        inbound = F.coalesce(tour.inbound, F.lit(False))
+        used |= outbound | inbound
+        roles.append(F.when(outbound, role(series, "outbound", "type_dest")))
+        roles.append(F.when(inbound, role(series, "return", "type_origin")))
     legs = (
-        trips.filter(outbound | inbound)
+        trips.filter(used)
         .distinct()
-        .withColumn("role", F.explode(roles))
+        .withColumn("role", F.explode(F.array_compact(F.array(*roles))))
         .select("*", "role.*")
         .drop("role")
         .withColumn("people", truncated_weight(F.col("factor")))
@@ -165,6 +182,9 @@ def _legs(trips: DataFrame, outbound: Column, inbound: Column, strict_null: bool
     return legs
 
 
+_TOUR_KEY = ("series", "id_soc", "link")
+
+
 def _leg_sums() -> list[Column]:
     is_out = F.col("leg") == "outbound"
     return [
@@ -174,58 +194,66 @@ def _leg_sums() -> list[Column]:
     ]
 
 
-def tour_legs(
-    trips: DataFrame, outbound: Column, inbound: Column, strict_null: bool = False
-) -> DataFrame:
+def tour_legs(trips: DataFrame, tours: dict[str, Tour], strict_null: bool = False) -> DataFrame:
     """Legs that take part in a tour, with the tours they are in.
 
     ``tours`` counts the pairs a leg belongs to and ``tour_people`` sums the
     outbound weight over them. This is the whole pair table in factored form:
     its size grows with the legs, not with their products.
     """
-    legs = _legs(trips, outbound, inbound, strict_null)
-    totals = legs.groupBy("id_soc", "link").agg(*_leg_sums())
-    totals = totals.filter((F.col("outbounds") > 0) & (F.col("returns") > 0))
-    on = legs["id_soc"].eqNullSafe(totals["id_soc"]) & legs["link"].eqNullSafe(totals["link"])
-    is_out = legs["leg"] == "outbound"
-    return legs.join(totals, on).select(
-        *[legs[c] for c in legs.columns],
-        F.when(is_out, totals["returns"]).otherwise(totals["outbounds"]).alias("tours"),
-        F.when(is_out, legs["people"] * totals["returns"])
-        .otherwise(totals["outbound_people"])
+    legs = _legs(trips, tours, strict_null)
+    totals = (
+        legs.groupBy(*[F.col(k).alias(f"total_{k}") for k in _TOUR_KEY])
+        .agg(*_leg_sums())
+        .filter((F.col("outbounds") > 0) & (F.col("returns") > 0))
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"total_{k}")) for k in _TOUR_KEY]
+    is_out = F.col("leg") == "outbound"
+    return legs.join(totals, same).select(
+        *legs.columns,
+        F.when(is_out, F.col("returns")).otherwise(F.col("outbounds")).alias("tours"),
+        F.when(is_out, F.col("people") * F.col("returns"))
+        .otherwise(F.col("outbound_people"))
         .alias("tour_people"),
     )
 
 
 def tour_hour_share(
-    trips: DataFrame, outbound: Column, inbound: Column, strict_null: bool = False
+    trips: DataFrame, tours: dict[str, Tour], strict_null: bool = False
 ) -> DataFrame:
-    """Share of tour legs per start hour; both legs weigh as the outbound one.
+    """Share of tour legs per series and start hour; both legs weigh as the outbound.
 
     Legs are summed per (person, link, hour) before a person's totals are
     formed, so no group holds more rows than there are hours.
     """
-    link = Window.partitionBy("id_soc", "link")
+    person = Window.partitionBy(*_TOUR_KEY)
     per_hour = (
-        _legs(trips, outbound, inbound, strict_null)
-        .groupBy("id_soc", "link", "start_hour")
-        .agg(*_leg_sums())
+        _legs(trips, tours, strict_null).groupBy(*_TOUR_KEY, "start_hour").agg(*_leg_sums())
     )
     mass = (
-        F.col("outbound_people") * F.sum("returns").over(link)
-        + F.col("returns") * F.sum("outbound_people").over(link)
+        F.col("outbound_people") * F.sum("returns").over(person)
+        + F.col("returns") * F.sum("outbound_people").over(person)
+    )
+    return weighted_hour_share(
+        per_hour.withColumn("mass", mass), "start_hour", "mass", by=("series",)
     )
-    return weighted_hour_share(per_hour.withColumn("mass", mass), "start_hour", "mass")
 
 
-def not_home_based(trips: DataFrame) -> DataFrame:
-    """Neither end is home; unknown place types are kept."""
-    return trips.filter(
-        ~F.col("type_origin").eqNullSafe(HOME_PLACE) & ~F.col("type_dest").eqNullSafe(HOME_PLACE)
+def not_home_based() -> Column:
+    """Neither end is home; unknown place types count as not home."""
+    return ~F.col("type_origin").eqNullSafe(HOME_PLACE) & ~F.col("type_dest").eqNullSafe(
+        HOME_PLACE
     )
 
 
-def trip_hour_share(trips: DataFrame) -> DataFrame:
-    """Share of people per start hour, one leg per row."""
-    rows = trips.withColumn("people", truncated_weight(F.col("factor")))
-    return weighted_hour_share(rows, "start_hour", "people")
+def trip_hour_share(trips: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """Share of people per series and start hour, one leg per row."""
+    member = F.array_compact(
+        F.array(*[F.when(c, F.lit(series)) for series, c in conditions.items()])
+    )
+    rows = trips.select(
+        F.explode(member).alias("series"),
+        "start_hour",
+        truncated_weight(F.col("factor")).alias("people"),
+    )
+    return weighted_hour_share(rows, "start_hour", "people", by=("series",))

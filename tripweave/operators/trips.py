@@ -75,17 +75,14 @@ def with_next_stop(stops: DataFrame, run_width: int = RUN_WIDTH) -> DataFrame:
 
 
 def is_real_move() -> Column:
-    return (
-        F.col("next_label").isNotNull()
-        & (F.col("cluster_label") != F.col("next_label"))
-        & F.col("end_timestamp").isNotNull()
-        & F.col("next_start").isNotNull()
-        & (F.col("next_start") > F.col("end_timestamp"))
+    return F.expr(
+        "next_label is not null and cluster_label <> next_label and end_timestamp is not null"
+        " and next_start is not null and next_start > end_timestamp"
     )
 
 
 def is_weekday_move() -> Column:
-    return ~F.col("weekend") & ~F.col("next_weekend")
+    return F.expr("not weekend and not next_weekend")
 
 
 def od_type_pair(origins: tuple[str, ...], dests: tuple[str, ...]) -> Column:
@@ -121,11 +118,11 @@ def type_condition(
 
 
 def origin_date(zone: str = "UTC") -> Column:
-    return date_of(local_seconds(F.col("end_timestamp"), zone))
+    return F.expr(date_of(local_seconds("end_timestamp", zone)))
 
 
 def is_same_day(zone: str = "UTC") -> Column:
-    return origin_date(zone) == date_of(local_seconds(F.col("next_start"), zone))
+    return origin_date(zone) == F.expr(date_of(local_seconds("next_start", zone)))
 
 
 def trip_condition(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.operators.profile import fill_hours, hourly_profile
+from tripweave.operators.profile import HOURS, fill_hours, hour_counts, hourly_profile
 from tripweave.operators.sampling import (
     departure_hour,
     departure_timestamp,
@@ -73,8 +73,8 @@ def _finish(trips: DataFrame, p: Preset, by: tuple[str, ...] = ()) -> DataFrame:
         "stop_event",
         "location_type",
         "departure",
-        departure_timestamp(F.col("departure")).alias("rand_start_ts"),
-        departure_hour(F.col("departure"), p.zone).alias("trip_start_hour"),
+        departure_timestamp().alias("rand_start_ts"),
+        departure_hour(zone=p.zone).alias("trip_start_hour"),
     )
 
 
@@ -124,12 +124,9 @@ def preset_trips(stops: DataFrame, presets: list[Preset]) -> DataFrame:
 def preset_profiles(stops: DataFrame, presets: list[Preset]) -> DataFrame:
     """24 rows per preset, also for presets without any trip."""
     trips = preset_trips(stops, presets)
-    found = trips.groupBy("series").agg(
-        F.array(*[F.count_if(F.col("trip_start_hour") == h) for h in range(24)]).alias("counts"),
-        F.count("*").alias("all_trips"),
-    )
+    found = hour_counts(trips, ("series",))
     names = stops.sparkSession.createDataFrame([(p.name,) for p in presets], "series string")
-    zeros = F.array_repeat(F.lit(0).cast("bigint"), 24)
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), HOURS)
     return fill_hours(
         names.join(found, "series", "left").select(
             "series",

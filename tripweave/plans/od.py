@@ -14,25 +14,21 @@ from tripweave.operators.od import (
     expansion_factors,
     filter_extent,
 )
-from tripweave.operators.spatial import assign_zones
-from tripweave.operators.zones import (
-    attach_population,
-    extent_of,
-    survey_zone_population,
-)
+from tripweave.operators.spatial import assign_zones, zone_frame
+from tripweave.operators.zones import attach_population, survey_zone_population
 
 HOME = ("home_longitude", "home_latitude", "home_geomid")
 WORK = ("work_longitude", "work_latitude", "work_geomid")
 
 
-def users_in_extent(anchors: DataFrame, zones: DataFrame) -> DataFrame:
-    """One row per user whose home and work lie in the box around all zones."""
-    return dedupe_users(filter_extent(drop_missing_anchor(anchors), extent_of(zones)))
-
-
 def located_users(anchors: DataFrame, zones: DataFrame) -> DataFrame:
-    users = assign_zones(users_in_extent(anchors, zones), zones, [HOME, WORK])
-    return users.select("uid", "home_geomid", "work_geomid")
+    """One row per user whose home and work lie in the box around all zones,
+    with the zones that contain them."""
+    frame = zone_frame(zones)
+    users = dedupe_users(filter_extent(drop_missing_anchor(anchors), frame.extent))
+    return assign_zones(users, zones, [HOME, WORK], frame.cell).select(
+        "uid", "home_geomid", "work_geomid"
+    )
 
 
 def od_pairs(anchors: DataFrame, zones: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,28 +12,33 @@ from tripweave.operators import survey as ops
 SERIES = ("hw", "ho", "nhb", "all")
 
 
-def hour_shares(survey: DataFrame, series: str, weekday: bool = True) -> DataFrame:
-    """``hour, percentage`` of home-work (hw) or home-other (ho) tours,
-    non-home-based (nhb) trips or all trips."""
+def all_hour_shares(
+    survey: DataFrame, weekday: bool = True, series: tuple[str, ...] = SERIES
+) -> DataFrame:
+    """``series, hour, percentage`` of home-work (hw) and home-other (ho) tours,
+    non-home-based (nhb) trips and all trips.
+
+    The tour series share one pass over the survey, the trip series another.
+    """
+    unknown = set(series) - set(SERIES)
+    if unknown or not series:
+        raise ValueError(f"unknown survey series {sorted(unknown)}, known: {', '.join(SERIES)}")
     trips = ops.valid_trips(survey, weekday)
-    if series == "hw":
-        return ops.tour_hour_share(trips, *ops.work_tour())
-    if series == "ho":
-        return ops.tour_hour_share(trips, *ops.other_tour())
-    if series == "nhb":
-        return ops.trip_hour_share(ops.not_home_based(trips))
-    if series == "all":
-        return ops.trip_hour_share(trips)
-    raise ValueError(f"unknown survey series {series!r}, known: {', '.join(SERIES)}")
-
-
-def all_hour_shares(survey: DataFrame, weekday: bool = True) -> DataFrame:
-    """The four series as one table with a ``series`` column."""
-    parts = [hour_shares(survey, s, weekday).withColumn("series", F.lit(s)) for s in SERIES]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked
+    tours = {"hw": ops.work_tour(), "ho": ops.other_tour()}
+    singles = {"nhb": ops.not_home_based(), "all": F.lit(True)}
+    tours = {s: tours[s] for s in series if s in tours}
+    singles = {s: singles[s] for s in series if s in singles}
+    parts = []
+    if tours:
+        parts.append(ops.tour_hour_share(trips, tours))
+    if singles:
+        parts.append(ops.trip_hour_share(trips, singles))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def hour_shares(survey: DataFrame, series: str, weekday: bool = True) -> DataFrame:
+    """``hour, percentage`` of one series."""
+    return all_hour_shares(survey, weekday, (series,)).drop("series")
 
 
 def survey_flows(

@@ -71,7 +71,7 @@ def read_zones(
     zones = rows.withColumn("rings", rings).withColumn("parts", parts).drop("polygons")
     if "population" in names.values():
         zones = zones.withColumn("population", F.col("population").cast("double").cast("bigint"))
-    return zones.withColumns(bounds(F.col("rings")))
+    return zones.withColumns(bounds())
 
 
 def write_zones(zones: DataFrame, path: str) -> None:
