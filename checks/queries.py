@@ -356,7 +356,8 @@ def next_stop(t: Tables) -> DataFrame:
 
 @query("next_stop_in_runs")
 def next_stop_in_runs(t: Tables) -> DataFrame:
-    return trips.with_next_stop(trips.exclude_location_type(t.stops, "O"), run_width=64)
+    kept = trips.exclude_location_type(t.stops, "O")
+    return trips.with_next_stop(kept, split=True, run_width=64)
 
 
 @query("real_moves")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tripweave.operators.sampling import informed_departure, uniform_departure
+from tripweave.operators.sampling import with_informed_departure, with_uniform_departure
 from tripweave.sources.distributions import HourlyDistribution
 
 EPOCH = datetime(1970, 1, 1)
@@ -40,8 +40,9 @@ def run(spark, dist, rows, zone="UTC"):
     df = spark.createDataFrame(
         rows, "uid bigint, stop_event bigint, end_timestamp bigint, next_start bigint"
     )
-    got = df.select("uid", "stop_event", informed_departure(dist, zone).alias("d")).collect()
-    return {(r["uid"], r["stop_event"]): r["d"] for r in got}
+    got = with_informed_departure(df, dist, zone)
+    assert got.columns == [*df.columns, "departure"]
+    return {(r["uid"], r["stop_event"]): r["departure"] for r in got.collect()}
 
 
 gaps = st.lists(
@@ -99,7 +100,7 @@ def test_uniform_stays_in_gap_and_repeats(spark):
         F.lit(5000).alias("next_start"),
     )
     once, again = (
-        [r[0] for r in d.select(uniform_departure().alias("d"), "uid").orderBy("uid").collect()]
+        [r["departure"] for r in with_uniform_departure(d).orderBy("uid").collect()]
         for d in (df, df.repartition(5))
     )
     assert once == again

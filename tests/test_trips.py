@@ -52,9 +52,17 @@ def test_next_stop_matches_plain_window(spark, width):
         F.lead("location_type").over(w).alias("next_type"),
         F.lead("weekend").over(w).alias("next_weekend"),
     )
-    got = trips.with_next_stop(df, width)
-    assert got.columns == plain.columns
-    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    want = sorted(map(str, plain.collect()))
+    for got in (trips.with_next_stop(df, True, width), trips.with_next_stop(df)):
+        assert got.columns == plain.columns
+        assert sorted(map(str, got.collect())) == want
+
+
+def test_large_users_are_measured(spark):
+    df = stops(spark, *[stop(1, i, i / 10, "H") for i in range(5)], stop(2, 1, 1, "H"))
+    assert trips.needs_runs(df, largest=4)
+    assert not trips.needs_runs(df, largest=5)
+    assert not trips.needs_runs(df.limit(0))
 
 
 def test_trip_over_month_edge_vanishes(spark):

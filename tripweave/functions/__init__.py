@@ -1,5 +1,5 @@
 from tripweave.functions.clock import date_of, hour_of, local_seconds
-from tripweave.functions.hashing import hash_uniforms
+from tripweave.functions.hashing import digest_uniform, row_digest
 from tripweave.functions.scalars import (
     concat_ids,
     expansion_factor,
@@ -15,11 +15,12 @@ __all__ = [
     "date_of",
     "expansion_factor",
     "fill_int",
-    "hash_uniforms",
+    "digest_uniform",
     "hour_of",
     "local_seconds",
     "log10_positive",
     "round_to_multiple",
+    "row_digest",
     "truncated_weight",
     "zero_pad",
 ]

@@ -1,4 +1,4 @@
-"""Repeatable uniform numbers derived from row keys.
+"""Repeatable uniform numbers derived from row keys, as SQL text.
 
 A task that is retried, or a table that is partitioned differently, yields
 the same numbers, and plain SQL can recompute them.
@@ -10,15 +10,16 @@ _HEX_WORD = 8
 _WORD_RANGE = 2**32
 
 
-def hash_uniforms(*keys: str, salt: str, count: int = 1) -> list[str]:
-    """SQL text of ``count`` (at most 4) uniforms in [0, 1) from one digest."""
-    if not 1 <= count <= 4:
-        raise ValueError("one digest holds four 32-bit words")
+def row_digest(*keys: str, salt: str) -> str:
+    """128 bits per row as 32 hexadecimal digits."""
     if not salt.replace("_", "").isalnum():
         raise ValueError("a salt is letters, digits and underscores")
-    digest = f"md5(concat_ws(':', {', '.join(keys)}, '{salt}'))"
-    return [
-        f"(cast(conv(substring({digest}, {1 + _HEX_WORD * i}, {_HEX_WORD}), 16, 10) as double)"
-        f" / {_WORD_RANGE}D)"
-        for i in range(count)
-    ]
+    return f"md5(concat_ws(':', {', '.join(keys)}, '{salt}'))"
+
+
+def digest_uniform(digest: str, word: int = 0) -> str:
+    """Uniform in [0, 1) from one of the four 32-bit words of a digest."""
+    if not 0 <= word < 4:
+        raise ValueError("one digest holds four 32-bit words")
+    hexadecimal = f"substring({digest}, {1 + _HEX_WORD * word}, {_HEX_WORD})"
+    return f"(cast(conv({hexadecimal}, 16, 10) as double) / {_WORD_RANGE}D)"

@@ -1,88 +1,118 @@
 """Departure times: raw, uniform, or informed by an hourly distribution.
 
-A sampler turns ``end_timestamp`` (the stop ends) and ``next_start`` (the next
-begins) into the epoch second of departure, as one column expression.
+A sampler adds the epoch second of departure to moves with ``end_timestamp``
+(the stop ends) and ``next_start`` (the next begins).
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.functions import hash_uniforms, hour_of, local_seconds
+from tripweave.functions import digest_uniform, hour_of, local_seconds, row_digest
 from tripweave.sources.distributions import HourlyDistribution
 
 DEFAULT_SALT = "departure"
 _KEY = ("uid", "stop_event")
 
 
-def raw_departure() -> Column:
-    return F.col("end_timestamp").cast("double")
+def with_raw_departure(moves: DataFrame, out: str = "departure") -> DataFrame:
+    return moves.withColumn(out, F.col("end_timestamp").cast("double"))
 
 
-def uniform_departure(salt: str = DEFAULT_SALT) -> Column:
-    (u,) = hash_uniforms(*_KEY, salt=salt)
-    return F.expr(f"end_timestamp + (next_start - end_timestamp) * {u}")
+def with_uniform_departure(
+    moves: DataFrame, salt: str = DEFAULT_SALT, out: str = "departure"
+) -> DataFrame:
+    u = digest_uniform(row_digest(*_KEY, salt=salt))
+    return moves.withColumn(out, F.expr(f"end_timestamp + (next_start - end_timestamp) * {u}"))
 
 
-def informed_departure(
-    distribution: HourlyDistribution, zone: str = "UTC", salt: str = DEFAULT_SALT
-) -> Column:
+def with_informed_departure(
+    moves: DataFrame,
+    distribution: HourlyDistribution,
+    zone: str = "UTC",
+    salt: str = DEFAULT_SALT,
+    out: str = "departure",
+) -> DataFrame:
     """Draw one of the whole hours inside the gap by its share, then a minute.
 
     The drawn time lies on the day the stop ended and is clipped into the gap.
     Without a whole hour in the gap the draw is uniform. All arithmetic is in
     wall-clock seconds of ``zone``; the shift is applied to the epoch at the end.
 
-    ``transform(array(v), g -> ...)[0]`` names a value ``g`` that is computed
-    once per row.
-    """
-    u_hour, u_minute, u_gap = hash_uniforms(*_KEY, salt=salt, count=3)
-    end = local_seconds("end_timestamp", zone)
-    start = local_seconds("next_start", zone)
-    gap = f"""
-named_struct('end', {end}, 'start', {start},
-  'first_mark', ceil({end} / 3600), 'last_mark', floor({start} / 3600))"""
-    marks = """
-named_struct('end', g.end, 'start', g.start, 'day', floor(g.end / 86400) * 86400,
-  'first', cast(g.first_mark - floor(g.first_mark / 24) * 24 as int),
-  'last', cast(g.last_mark - floor(g.first_mark / 24) * 24 as int))"""
-    drawn = f"""
-greatest(g.end, least(g.start,
-  g.day + {_draw_hour(distribution, u_hour)} * 3600 + floor({u_minute} * 60) * 60))"""
-    shift = f"""
-if(g.first > g.last, (g.start - g.end) * {u_gap}, cast({drawn} - g.end as double))"""
-    return F.expr(
-        f"end_timestamp + transform(transform(array({gap}), g -> {marks}), g -> {shift})[0]"
-    )
-
-
-def _draw_hour(distribution: HourlyDistribution, u: str) -> str:
-    """Hour of day drawn from the marks ``g.first..g.last``, hours since the
-    midnight before the first.
-
-    With C(h) the running sum of the hour weights, the marks up to hour h of day
-    weigh ``days * C(h) + min(C(h), C(last)) - min(C(h), C(before first))``. The
-    draw is the count of hours whose running weight stays within ``u * total``,
-    so its cost does not grow with the length of the gap.
+    With C(h) the running sum of the 24 hour weights, the whole hours of the gap
+    that fall on hour of day <= h weigh
+    ``days * C(h) + min(C(h), through) - min(C(h), before)``: a function of C(h)
+    made of three straight pieces. It is inverted at a uniform times the total,
+    and the drawn hour is the first whose C exceeds the inverse. The cost does
+    not depend on the length of the gap, and each step is a plain column.
     """
     weights = distribution.weights()
-    running = [f"{r!r}D" for r in accumulate(weights)]
-    through_hour = f"array({', '.join(running)})"
-    table = f"array(0D, {', '.join(running)})"
-    sums = f"""
-named_struct('days', floor(g.last / 24), 'through', {table}[pmod(g.last, 24) + 1],
-  'before', {table}[g.first], 'u', {u})"""
-    total = f"(s.days * {running[-1]} + s.through - s.before)"
-    drawn = f"""
-size(filter({through_hour}, c ->
-  s.days * c + least(c, s.through) - least(c, s.before) <= s.u * {total}))"""
+    running = list(accumulate(weights))
+    table = f"array(0D, {', '.join(f'{r!r}D' for r in running)})"
+    u_hour, u_minute, u_gap = (digest_uniform("s_digest", word) for word in range(3))
+    hour = _first_above("s_inverse", running)
     if min(weights) <= 0:
-        evenly = "pmod(g.first + cast(floor(s.u * (g.last - g.first + 1)) as int), 24)"
-        drawn = f"if({total} > 0, {drawn}, {evenly})"
-    return f"transform(array({sums}), s -> {drawn})[0]"
+        evenly = f"pmod(s_first + cast(floor({u_hour} * (s_last - s_first + 1)) as int), 24)"
+        hour = f"if(s_days = 0 and s_low = s_high, {evenly}, {hour})"
+    steps = [
+        {
+            "s_end": local_seconds("end_timestamp", zone),
+            "s_start": local_seconds("next_start", zone),
+            "s_digest": row_digest(*_KEY, salt=salt),
+        },
+        # Whole hours, counted from the midnight before the first one in the gap.
+        {"s_midnight": "floor(ceil(s_end / 3600) / 24) * 24"},
+        {
+            "s_first": "cast(ceil(s_end / 3600) - s_midnight as int)",
+            "s_last": "cast(floor(s_start / 3600) - s_midnight as int)",
+        },
+        {
+            "s_days": "floor(s_last / 24)",
+            "s_through": f"get({table}, pmod(s_last, 24) + 1)",
+            "s_before": f"get({table}, s_first)",
+        },
+        {
+            "s_low": "least(s_before, s_through)",
+            "s_high": "greatest(s_before, s_through)",
+            "s_target": f"{u_hour} * (s_days * {running[-1]!r}D + s_through - s_before)",
+        },
+        {
+            "s_at_low": "s_days * s_low",
+            "s_at_high": "s_days * s_high + s_through - s_before",
+        },
+        {
+            "s_inverse": """
+case when s_target < s_at_low then try_divide(s_target, s_days)
+  when s_target < s_at_high
+    then s_low + (s_target - s_at_low) * (s_high - s_low) / (s_at_high - s_at_low)
+  else s_high + coalesce(try_divide(s_target - s_at_high, s_days), 0D) end"""
+        },
+        {
+            "s_drawn": f"floor(s_end / 86400) * 86400 + {hour} * 3600 + floor({u_minute} * 60) * 60"
+        },
+        {
+            out: f"""
+end_timestamp + if(s_first > s_last, (s_start - s_end) * {u_gap},
+  cast(greatest(s_end, least(s_start, s_drawn)) - s_end as double))"""
+        },
+    ]
+    for step in steps:
+        moves = moves.withColumns({name: F.expr(text) for name, text in step.items()})
+    return moves.drop(*[name for step in steps for name in step if name != out])
+
+
+def _first_above(x: str, running: list[float], low: int = 0, high: int = 23) -> str:
+    """Index of the first running sum above ``x``, by halving."""
+    if low == high:
+        return str(low)
+    middle = (low + high) // 2
+    return (
+        f"if({x} < {running[middle]!r}D, {_first_above(x, running, low, middle)}, "
+        f"{_first_above(x, running, middle + 1, high)})"
+    )
 
 
 def departure_hour(departure: str = "departure", zone: str = "UTC") -> Column:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tripweave.functions import date_of, local_seconds
 
-# A user's stops of one month are windowed in runs of this many order keys, so
-# a single very active user never has to fit into one task.
+# Up to this many stops of one user and month are sorted in one task. Beyond it
+# stops are windowed in runs of RUN_WIDTH order keys, so that no user has to fit.
+LARGEST_WHOLE_USER = 2_000_000
 RUN_WIDTH = 1 << 20
 
-_OWNER = ("month", "uid")
+_OWNER = ("uid", "month")
 _ORDER = ("stop_event", "start_timestamp", "end_timestamp", "cluster_label", "location_type", "weekend")
 _NEXT = {
     "cluster_label": "next_label",
@@ -45,14 +46,39 @@ def month_slice(stops: DataFrame, positions: tuple[int, int] | None) -> DataFram
     return stops.join(months, "month", "left_semi")
 
 
-def with_next_stop(stops: DataFrame, run_width: int = RUN_WIDTH) -> DataFrame:
+def needs_runs(stops: DataFrame, largest: int = LARGEST_WHOLE_USER) -> bool:
+    """Measure whether some user has more than ``largest`` stops in a month.
+
+    Reads two columns and brings back one number.
+    """
+    sizes = stops.groupBy(*_OWNER).agg(F.count("*").alias("stops"))
+    return (sizes.agg(F.max("stops").alias("most")).first()["most"] or 0) > largest
+
+
+def with_next_stop(
+    stops: DataFrame, split: bool | None = None, run_width: int = RUN_WIDTH
+) -> DataFrame:
     """Add label, start, type and weekend flag of the user's next stop that month.
 
-    ``lead`` runs inside (month, user, run of order keys). Only the first and
-    last stop of each run then meet in a second, far smaller window that
-    carries the next stop across the seam between runs.
+    ``split`` says whether users must be cut into runs; by default it is
+    measured. Both ways give the same rows.
     """
+    if split is None:
+        split = needs_runs(stops)
     following = F.struct(*[F.col(c).alias(n) for c, n in _NEXT.items()])
+    if split:
+        sequenced = _next_in_runs(stops, following, run_width)
+    else:
+        whole = Window.partitionBy(*_OWNER).orderBy(*_ORDER)
+        sequenced = stops.withColumn("following", F.lead(following).over(whole))
+    return sequenced.select(*stops.columns, "following.*")
+
+
+def _next_in_runs(stops: DataFrame, following: Column, run_width: int) -> DataFrame:
+    """``lead`` inside (user, month, run of order keys), then across the seams.
+
+    Only the first and last stop of each run meet in the second window.
+    """
     in_run = Window.partitionBy(*_OWNER, "run").orderBy(*_ORDER)
     across = Window.partitionBy(*_OWNER).orderBy("run", "place")
     sequenced = (
@@ -68,7 +94,7 @@ def with_next_stop(stops: DataFrame, run_width: int = RUN_WIDTH) -> DataFrame:
         .withColumn("following", F.col("over_seam"))
         .drop("over_seam")
     )
-    return within.unionByName(seams).select(*stops.columns, "following.*")
+    return within.unionByName(seams)
 
 
 # -- predicates on a stop and its successor -----------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,15 @@ from tripweave.operators.profile import HOURS, fill_hours, hour_counts, hourly_p
 from tripweave.operators.sampling import (
     departure_hour,
     departure_timestamp,
-    informed_departure,
-    raw_departure,
-    uniform_departure,
+    with_informed_departure,
+    with_raw_departure,
+    with_uniform_departure,
 )
 from tripweave.operators.trips import (
     exclude_location_type,
     first_last_of_day,
     month_slice,
+    needs_runs,
     origin_date,
     trip_condition,
     with_next_stop,
@@ -33,31 +35,30 @@ def condition_of(p: Preset) -> Column:
     return trip_condition(t.origins, t.dests, t.weekday_only, t.same_day_only, p.zone)
 
 
-def departure_of(p: Preset) -> Column:
+def with_departure(moves: DataFrame, p: Preset, out: str = "departure") -> DataFrame:
     s = p.sampling
     if s.strategy == RAW:
-        return raw_departure()
+        return with_raw_departure(moves, out)
     if s.strategy == INFORMED:
         if s.distribution is None:
             raise ValueError(f"{p.name}: informed sampling needs a distribution")
-        return informed_departure(s.distribution, p.zone, s.salt)
-    return uniform_departure(s.salt)
+        return with_informed_departure(moves, s.distribution, p.zone, s.salt, out)
+    return with_uniform_departure(moves, s.salt, out)
 
 
-def moves(stops: DataFrame, p: Preset) -> DataFrame:
-    """Stops with their successor, after the exclusions that precede sequencing."""
+def moves(stops: DataFrame, p: Preset, split: bool | None = None) -> DataFrame:
+    """Stops with their successor, after the exclusions that precede sequencing.
+
+    ``split`` as in ``with_next_stop``; exclusions only make users smaller, so
+    the answer for all stops holds for what is left of them.
+    """
     kept = exclude_location_type(stops, p.trips.exclude_type)
-    return with_next_stop(month_slice(kept, p.month_positions))
+    return with_next_stop(month_slice(kept, p.month_positions), split)
 
 
-def departure_trips(stops: DataFrame, p: Preset) -> DataFrame:
+def departure_trips(stops: DataFrame, p: Preset, split: bool | None = None) -> DataFrame:
     """``uid, month, rand_start_ts, trip_start_hour`` (and the key and epoch)."""
-    return _finish(
-        moves(stops, p)
-        .filter(condition_of(p))
-        .withColumn("departure", departure_of(p)),
-        p,
-    )
+    return _finish(with_departure(moves(stops, p, split).filter(condition_of(p)), p), p)
 
 
 def _finish(trips: DataFrame, p: Preset, by: tuple[str, ...] = ()) -> DataFrame:
@@ -99,28 +100,32 @@ def preset_trips(stops: DataFrame, presets: list[Preset]) -> DataFrame:
     shared = defaultdict(list)
     for p in presets:
         shared[p.trips.exclude_type, p.month_positions].append(p)
+    split = needs_runs(stops)
     parts = []
     for group in shared.values():
-        sequenced = moves(stops, group[0])
+        sequenced = moves(stops, group[0], split)
         endings = defaultdict(list)
         for p in group:
             t = p.trips
             endings[t.first_outbound and t.last_return, t.per_direction, p.zone].append(p)
         for alike in endings.values():
-            entries = [
-                F.when(
-                    condition_of(p),
-                    F.struct(F.lit(p.name).alias("series"), departure_of(p).alias("departure")),
-                )
-                for p in alike
-            ]
-            rows = sequenced.withColumn(
-                "entry", F.explode(F.array_compact(F.array(*entries)))
-            ).select("*", "entry.*")
-            parts.append(_finish(rows, alike[0], ("series",)))
+            parts.append(_finish(_series_rows(sequenced, alike), alike[0], ("series",)))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _series_rows(sequenced: DataFrame, presets: list[Preset]) -> DataFrame:
+    """A row per preset that a move belongs to, with that preset's departure."""
+    rows = sequenced.filter(reduce(or_, [condition_of(p) for p in presets]))
+    entries = []
+    for i, p in enumerate(presets):
+        rows = with_departure(rows, p, f"departure_{i}")
+        entry = F.struct(F.lit(p.name).alias("series"), F.col(f"departure_{i}").alias("departure"))
+        entries.append(F.when(condition_of(p), entry))
+    return rows.withColumn("entry", F.explode(F.array_compact(F.array(*entries)))).select(
+        *sequenced.columns, "entry.*"
+    )
+
+
 def preset_profiles(stops: DataFrame, presets: list[Preset]) -> DataFrame:
     """24 rows per preset, also for presets without any trip."""
     trips = preset_trips(stops, presets)
