@@ -10,7 +10,7 @@ import time
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
@@ -57,9 +57,8 @@ def canonical(columns: list[str], rows: list[tuple]) -> tuple[list[str], list[tu
     return [columns[i] for i in order], table
 
 
-def difference(spark: SparkSession, con, sf_dir: str, name: str) -> str | None:
-    """None when both engines agree, else a short description."""
-    df = QUERIES[name](spark, sf_dir)
+def difference(df: DataFrame, con, name: str) -> str | None:
+    """None when the query's rows equal its SQL's, else a short description."""
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
     result = con.execute(ORACLES[name])
     want = canonical([c[0] for c in result.description], result.fetchall())
@@ -79,7 +78,8 @@ def main() -> int:
     for name in names:
         began = time.time()
         try:
-            problem = difference(spark, con, sf_dir, name) if name in ORACLES else "no SQL"
+            df = QUERIES[name](spark, sf_dir)
+            problem = difference(df, con, name) if name in ORACLES else "no SQL"
         except Exception as e:  # report and go on with the other queries
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         failed += problem is not None

@@ -466,7 +466,7 @@ def sorted_profile(t: Tables) -> DataFrame:
 def zoned_profile(t: Tables) -> DataFrame:
     """Hours on the wall clock of a zone seven hours behind UTC."""
     commute = preset("HW_raw").trips
-    p = Preset("HW_raw_local", commute, Sampling(RAW), "hw", zone="America/Hermosillo")
+    p = Preset("HW_raw_local", commute, Sampling(RAW), "hw", zone="America/Phoenix")
     return _profile(dep.departure_profile(t.stops, p))
 
 

@@ -11,6 +11,7 @@ def spark():
     from checks.compare_engines import local_session
 
     session = local_session()
-    session.conf.set("spark.sql.session.timeZone", "America/Mexico_City")
+    session.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    session.conf.set("spark.sql.maxMetadataStringLength", "10000")
     yield session
     session.stop()

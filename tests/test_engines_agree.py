@@ -21,8 +21,12 @@ def test_every_query_has_sql():
 # At this scale some of the 25 zones hold no user, so the matrix has fewer
 # columns than its SQL names; test_od.py covers the matrix.
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"od_wide"}))
-def test_agrees(spark, con, name):
-    assert difference(spark, con, SF, name) is None
+def test_agrees_and_plan_is_distributed(spark, con, name):
+    df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "MapInPandas"):
+        assert operator not in plan
+    assert difference(df, con, name) is None
 
 
 def test_entry_is_a_full_day(spark):

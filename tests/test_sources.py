@@ -2,7 +2,9 @@ from types import SimpleNamespace
 
 import pytest
 
+from tripweave.operators.od import drop_missing_anchor, filter_extent
 from tripweave.operators.trips import with_next_stop
+from tripweave.operators.zones import Extent
 from tripweave.plans import departure as dep
 from tripweave.plans.presets import MODULAR, PRESETS, Sampling, preset
 from tripweave.sources import (
@@ -88,6 +90,12 @@ def test_parquet_inputs_read_only_their_columns(spark, tmp_path):
         "5e0 as work_longitude, 'x' as junk"
     ).write.parquet(str(tmp_path / "anchors"))
     assert "junk" not in read_anchors(spark, str(tmp_path / "anchors" / "*.parquet")).columns
+    boxed = filter_extent(
+        drop_missing_anchor(read_anchors(spark, str(tmp_path / "anchors"))), Extent(0.0, 0.0, 9.0, 9.0)
+    )
+    scan = boxed._jdf.queryExecution().executedPlan().toString()
+    for pushed in ("GreaterThanOrEqual(home_latitude,0.0)", "LessThanOrEqual(work_longitude,9.0)"):
+        assert pushed in scan
     spark.sql(
         "select 1 as uid, 2 as stop_event, 3L as start_timestamp, 4L as end_timestamp, 'a' as cluster_label, "
         "'H' as location_type, false as weekend, 1 as month, 'x' as junk"

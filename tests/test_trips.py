@@ -153,7 +153,7 @@ def test_month_slice_is_positional(spark):
 def test_same_day_depends_on_zone_not_session(spark):
     df = stops(spark, stop(1, 1, 23, "H"), stop(1, 2, 25, "W"))
     assert dep.departure_trips(df, commute()).count() == 0
-    west = Preset("t", commute().trips, Sampling(RAW), "hw", zone="America/Hermosillo")
+    west = Preset("t", commute().trips, Sampling(RAW), "hw", zone="America/Phoenix")
     assert hours(dep.departure_trips(df, west)) == [(1, 16)]
 
 
@@ -189,3 +189,20 @@ def test_result_does_not_depend_on_partitioning(spark):
     p = Preset("t", commute().trips, Sampling(UNIFORM), "hw")
     want = sorted(map(str, dep.departure_trips(df.coalesce(1), p).collect()))
     assert sorted(map(str, dep.departure_trips(df.repartition(13, "stop_event"), p).collect())) == want
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_split_users_reuse_their_shuffle(spark):
+    df = stops(spark, *[stop(u, i, 6 + i, "HW"[i % 2]) for u in range(20) for i in range(8)])
+    plan = executed(trips.with_next_stop(df.repartition(3), True, 4))
+    assert plan.count("ReusedExchange") == 1
+
+
+def test_whole_users_reach_the_daily_ends_in_one_shuffle(spark):
+    df = stops(spark, *[stop(u, i, 6 + i, "HW"[i % 2]) for u in range(20) for i in range(8)])
+    plan = executed(dep.departure_trips(df, commute(first_outbound=True, last_return=True), split=False))
+    assert plan.count("Exchange hashpartitioning") == 1  # (user, month) also serves (user, month, day)

@@ -55,10 +55,10 @@ def hour_spine(profile: DataFrame, by: tuple[str, ...] = (), value: str = "trip_
     )
 
 
-def weighted_hour_share(rows: DataFrame, hour: str, weight: str, by: tuple[str, ...] = ()) -> DataFrame:
+def weighted_hour_share(rows: DataFrame, hour: str, weight: str, by: tuple[str, ...]) -> DataFrame:
     """100 x weight per hour / total weight; rows without an hour count in the total."""
     per_hour = rows.groupBy(*by, F.col(hour).alias("hour")).agg(F.sum(weight).alias("weight"))
-    total = F.sum("weight").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
+    total = F.sum("weight").over(Window.partitionBy(*by))
     return (
         per_hour.withColumn("percentage", F.try_divide("weight", total) * 100)
         .filter(F.col("hour").isNotNull() & (F.col("weight") > 0))
