@@ -8,6 +8,7 @@ that a ray from that cell can meet.
 
 from __future__ import annotations
 
+from math import sqrt
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,11 @@ from tripweave.functions.geometry import (
 from tripweave.operators.sizing import BROADCAST_BYTES, fits_broadcast
 from tripweave.operators.zones import Extent, latest_shapes
 
+# The fewer zones there are, the finer the grid: most points then fall into
+# cells that lie wholly inside a zone and need no look at its edges.
 MAX_CELLS_PER_SIDE = 1024
+MAX_CELLS_PER_ZONE_SIDE = 8
+CELLS_IN_TOTAL = 200_000
 _CELL = ("cell_x", "cell_y")
 _EDGE_BYTES = 40
 _ROW_BYTES = 96
@@ -40,19 +45,21 @@ class ZoneFrame(NamedTuple):
 def zone_frame(zones: DataFrame) -> ZoneFrame:
     """One pass over the zones.
 
-    The cell is the median zone width, kept large enough to bound the number of
-    cells a zone can cover.
+    The cell is a part of the median zone width, kept large enough to bound the
+    number of cells that a zone, and all zones together, cover.
     """
     row = zones.agg(
         *[getattr(F, end[:3])(end).alias(end) for end in Extent._fields],
         F.percentile_approx(F.col("maxx") - F.col("minx"), 0.5).alias("width"),
         F.percentile_approx(F.col("maxy") - F.col("miny"), 0.5).alias("height"),
+        F.count("*").alias("zones"),
     ).first()
     extent = Extent(*[row[end] for end in Extent._fields])
     if row["width"] is None:
         return ZoneFrame(extent, 1.0)
     side = max(extent.maxx - extent.minx, extent.maxy - extent.miny)
-    cell = max(min(row["width"], row["height"]), side / MAX_CELLS_PER_SIDE)
+    parts = min(MAX_CELLS_PER_ZONE_SIDE, max(1.0, sqrt(CELLS_IN_TOTAL / row["zones"])))
+    cell = max(min(row["width"], row["height"]) / parts, side / MAX_CELLS_PER_SIDE)
     return ZoneFrame(extent, cell or 1.0)
 
 
@@ -129,23 +136,32 @@ def assign_zones(
 
 
 def _cell_lists(cells: DataFrame) -> DataFrame:
-    """One row per cell with its zones in order; used only for measured sizes."""
+    """One row per cell; used only for measured sizes.
+
+    ``sure`` is the zone of every point in the cell when its first zone covers
+    the cell wholly; otherwise ``unsure`` lists the zones to test, in order.
+    """
     zone = F.struct("zone_ord", "geomid", "solid", "edges")
-    return cells.groupBy(*_CELL).agg(F.array_sort(F.collect_list(zone)).alias("cell_zones"))
+    lists = cells.groupBy(*_CELL).agg(F.array_sort(F.collect_list(zone)).alias("zones"))
+    return lists.selectExpr(
+        *_CELL,
+        "if(zones[0].solid, zones[0].geomid, null) as sure",
+        "if(zones[0].solid, null, zones) as unsure",
+    )
 
 
 def _assign_by_lookup(
     points: DataFrame, lookup: DataFrame, lon: str, lat: str, out: str, cell: float
 ) -> DataFrame:
     """Each point meets at most one lookup row, so no shuffle and no regrouping."""
-    containing = f"filter(cell_zones, z -> z.solid or {strictly_inside('z.edges', lon, lat)})"
+    containing = f"filter(unsure, z -> z.solid or {strictly_inside('z.edges', lon, lat)})"
     return (
         points.withColumns(
             {"cell_x": F.expr(_cell_index(lon, cell)), "cell_y": F.expr(_cell_index(lat, cell))}
         )
         .join(lookup, list(_CELL), "left")
-        .withColumn(out, F.expr(f"get({containing}, 0).geomid"))
-        .drop(*_CELL, "cell_zones")
+        .withColumn(out, F.expr(f"coalesce(sure, get({containing}, 0).geomid)"))
+        .drop(*_CELL, "sure", "unsure")
     )
 
 
