@@ -451,6 +451,7 @@ ORACLES: dict[str, str] = {
     "od_dense": sql(
         f"select home_geomid, work_geomid, round(counts, 6) as counts from ({_dense('od_ids', 'expanded')})"
     ),
+    "survey_od_aligned": sql(_dense("od_ids", "survey_pairs")),
     "od_compare_rows": sql(
         "select home_geomid, work_geomid, round(counts_lbs, 6) as counts_lbs, counts_eod, kind from od_both"
     ),

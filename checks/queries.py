@@ -154,20 +154,32 @@ def assign_fine_zone_shuffled(t: Tables) -> DataFrame:
     return assign_zone(t.anchors, t.fine_zones, *od_plan.HOME, broadcast_bytes=0)
 
 
-def _od(t: Tables) -> DataFrame:
+@query("od_pairs")
+def od_pairs(t: Tables) -> DataFrame:
     return od_plan.od_pairs(t.anchors, t.zones)
 
 
+def _od(t: Tables) -> DataFrame:
+    """The pairs as the analyses get them: from their file."""
+    return od_plan.saved_od_pairs(t.spark, t.anchors, t.zones, scratch_path(t.spark, "od"))
+
+
 def _factors(t: Tables) -> DataFrame:
     return od.expansion_factors(t.zones, _od(t))
 
 
-def _expanded(t: Tables) -> DataFrame:
-    pairs = _od(t)
+def _expand(t: Tables, pairs: DataFrame) -> DataFrame:
     return od.expanded_od(pairs, od.expansion_factors(t.zones, pairs))
 
 
-query("od_pairs")(_od)
+def _expanded(t: Tables) -> DataFrame:
+    return _expand(t, _od(t))
+
+
+def _matrix(t: Tables) -> tuple[DataFrame, list[str]]:
+    """Expanded pairs and the ids of the matrix they fill."""
+    pairs = _od(t)
+    return _expand(t, pairs), od.zone_ids(od.zone_universe(pairs))
 
 
 # -- OD analysis --------------------------------------------------------------
@@ -211,21 +223,24 @@ def zone_universe(t: Tables) -> DataFrame:
 
 @query("od_wide")
 def od_wide(t: Tables) -> DataFrame:
-    ids = od.zone_ids(od.zone_universe(_od(t)))
-    wide = od.pivot_od(_expanded(t), ids)
+    wide = od.pivot_od(*_matrix(t))
     return rounded(wide, *[c for c in wide.columns if c != "home_geomid"])
 
 
 @query("od_unpivot")
 def od_unpivot(t: Tables) -> DataFrame:
-    ids = od.zone_ids(od.zone_universe(_od(t)))
-    return rounded(od.unpivot_od(od.pivot_od(_expanded(t), ids)), "counts")
+    return rounded(od.unpivot_od(od.pivot_od(*_matrix(t))), "counts")
 
 
 @query("od_dense")
 def od_dense(t: Tables) -> DataFrame:
-    ids = od.zone_ids(od.zone_universe(_od(t)))
-    return rounded(od.align_matrix(_expanded(t), ids), "counts")
+    return rounded(od.align_matrix(*_matrix(t)), "counts")
+
+
+@query("survey_od_aligned")
+def survey_od_aligned(t: Tables) -> DataFrame:
+    """The survey's pairs on the zones of the measured matrix."""
+    return od.align_matrix(_survey_od(t), _matrix(t)[1])
 
 
 def _survey_od(t: Tables) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tripweave.operators.compare import join_od_sources, log_correlation
 from tripweave.operators.od import (
@@ -16,6 +16,7 @@ from tripweave.operators.od import (
 )
 from tripweave.operators.spatial import assign_zones, zone_frame
 from tripweave.operators.zones import attach_population, survey_zone_population
+from tripweave.sources.tables import OD_PAIRS_SCHEMA, read_survey_csv, write_csv
 
 HOME = ("home_longitude", "home_latitude", "home_geomid")
 WORK = ("work_longitude", "work_latitude", "work_geomid")
@@ -36,6 +37,18 @@ def od_pairs(anchors: DataFrame, zones: DataFrame) -> DataFrame:
     return attach_zone_population(count_od_users(located_users(anchors, zones)), zones)
 
 
+def saved_od_pairs(
+    spark: SparkSession, anchors: DataFrame, zones: DataFrame, path: str
+) -> DataFrame:
+    """``od_pairs`` written as CSV to ``path`` and read back.
+
+    Analyses use the pairs several times; from the file each use is a small
+    scan, and the anchors are located once.
+    """
+    write_csv(od_pairs(anchors, zones), path)
+    return read_survey_csv(spark, path, OD_PAIRS_SCHEMA)
+
+
 def zones_with_population(zones: DataFrame, households: DataFrame) -> DataFrame:
     return attach_population(zones, survey_zone_population(households))
 
