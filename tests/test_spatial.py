@@ -105,13 +105,13 @@ def test_inner_cells_carry_no_edges(spark):
     assert all(1 <= len(c["edges"]) <= 3 for c in rim)
 
 
-def test_frame_bounds_the_cells_of_a_huge_zone(spark):
-    table = zones(spark, ("big", 0, [box(0, 0, 1000, 1000)]), *[
-        (f"s{k}", k, [box(k, 0, k + 0.001, 0.001)]) for k in range(1, 8)
-    ])
-    frame = zone_frame(table)
+def test_cells_stay_bounded_when_sizes_differ(spark):
+    shapes = [("big", 0, [box(0, 0, 1000, 1000)]), ("flat", 9, [box(0, 5, 1000, 5.0001)])]
+    shapes += [(f"s{k}", k, [box(k, 0, k + 0.001, 0.001)]) for k in range(1, 8)]
+    frame = zone_frame(zones(spark, *shapes))
     assert frame.extent == (0, 0, 1000, 1000)
-    assert frame.cell == pytest.approx(1000 / 1024)
+    assert 2 < frame.cell < 3
+    assert zone_cells(zones(spark, *shapes), frame.cell).count() < 3 * 200_000 + 4 * len(shapes)
 
 
 def test_plan_has_no_shuffle_of_points(spark):

@@ -25,10 +25,9 @@ from tripweave.functions.geometry import (
 from tripweave.operators.sizing import BROADCAST_BYTES, fits_broadcast
 from tripweave.operators.zones import Extent, latest_shapes
 
-# The fewer zones there are, the finer the grid: most points then fall into
-# cells that lie wholly inside a zone and need no look at its edges.
-MAX_CELLS_PER_SIDE = 1024
-MAX_CELLS_PER_ZONE_SIDE = 8
+# The finer the grid, the more points fall into cells that lie wholly inside a
+# zone and need no look at its edges.
+CELLS_PER_ZONE_SIDE = 8
 CELLS_IN_TOTAL = 200_000
 _CELL = ("cell_x", "cell_y")
 _EDGE_BYTES = 40
@@ -45,21 +44,26 @@ class ZoneFrame(NamedTuple):
 def zone_frame(zones: DataFrame) -> ZoneFrame:
     """One pass over the zones.
 
-    The cell is a part of the median zone width, kept large enough to bound the
-    number of cells that a zone, and all zones together, cover.
+    The cell is a part of the median zone width, but not so small that all zones
+    of width w and height h together cover too many: with N cells aimed at,
+    ``sum(w * h) / cell**2 <= N`` and ``sum(w + h) / cell <= N``, so no more than
+    ``3 * N + 4 * zones`` cells arise however the sizes differ.
     """
+    width, height = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
     row = zones.agg(
         *[getattr(F, end[:3])(end).alias(end) for end in Extent._fields],
-        F.percentile_approx(F.col("maxx") - F.col("minx"), 0.5).alias("width"),
-        F.percentile_approx(F.col("maxy") - F.col("miny"), 0.5).alias("height"),
-        F.count("*").alias("zones"),
+        F.percentile_approx(F.least(width, height), 0.5).alias("median"),
+        F.sum(width * height).alias("area"),
+        F.sum(width + height).alias("sides"),
     ).first()
     extent = Extent(*[row[end] for end in Extent._fields])
-    if row["width"] is None:
+    if row["median"] is None:
         return ZoneFrame(extent, 1.0)
-    side = max(extent.maxx - extent.minx, extent.maxy - extent.miny)
-    parts = min(MAX_CELLS_PER_ZONE_SIDE, max(1.0, sqrt(CELLS_IN_TOTAL / row["zones"])))
-    cell = max(min(row["width"], row["height"]) / parts, side / MAX_CELLS_PER_SIDE)
+    cell = max(
+        row["median"] / CELLS_PER_ZONE_SIDE,
+        sqrt(row["area"] / CELLS_IN_TOTAL),
+        row["sides"] / CELLS_IN_TOTAL,
+    )
     return ZoneFrame(extent, cell or 1.0)
 
 

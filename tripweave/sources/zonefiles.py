@@ -29,6 +29,7 @@ def read_zones(
 
     ``columns`` maps property names to ``geomid`` and ``population`` (and any
     further column to keep). ``parts`` names the polygon each ring belongs to.
+    Order is the place in a collection; lines carry it in ``zone_ord``.
     """
     names = columns or {"geomid": "geomid", "population": "population"}
     wanted = [*names, _ORDER] if _ORDER not in names else list(names)
