@@ -128,8 +128,7 @@ def assign_zones(
     """``assign_zone`` for several ``(lon, lat, out)`` against one zone grid."""
     cell = cell or zone_frame(zones).cell
     cells = zone_cells(zones, cell)
-    row_bytes = F.size("edges") * _EDGE_BYTES + _ROW_BYTES
-    small = fits_broadcast(cells, row_bytes, broadcast_bytes)
+    small = _cells_fit(zones, cells, cell, broadcast_bytes)
     lookup = F.broadcast(_cell_lists(cells)) if small else None
     for lon, lat, out in targets:
         if small:
@@ -139,6 +138,20 @@ def assign_zones(
     return points
 
 
+def _cells_fit(zones: DataFrame, cells: DataFrame, cell: float, limit: int) -> bool:
+    """Whether the cell table may be broadcast.
+
+    A ceiling from the zones alone (every cell with every edge) settles most
+    cases; only beyond it is the cell table itself measured.
+    """
+    vertices = "aggregate(rings, 0, (n, r) -> n + size(r))"
+    ceiling = F.expr(f"""
+((maxx - minx) / {cell!r}D + 2) * ((maxy - miny) / {cell!r}D + 2)
+  * ({_ROW_BYTES} + {_EDGE_BYTES} * {vertices})""")
+    measured = F.size("edges") * _EDGE_BYTES + _ROW_BYTES
+    return fits_broadcast(zones, ceiling, limit) or fits_broadcast(cells, measured, limit)
+
+
 def _cell_lists(cells: DataFrame) -> DataFrame:
     """One row per cell; used only for measured sizes.
 
