@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,12 +12,12 @@ SHARED_DIR_SETTING = "spark.checkpoint.dir"
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared folder.
 
-    Only a local session without that setting falls back to a temporary
-    folder; on a cluster a machine-local folder would be lost with its machine.
+    Only a local session without that setting falls back to its warehouse; on
+    a cluster the folder must be one that all executors share.
     """
     shared = spark.conf.get(SHARED_DIR_SETTING, None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SHARED_DIR_SETTING} to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="tripweave-")
+        shared = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
     return f"{shared.rstrip('/')}/tripweave/{name}-{uuid.uuid4().hex}"
