@@ -28,7 +28,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: A file is closed when it holds this many tokens.
 FILE_TOKENS = 4_000_000
 _BLOCK = 512  # bits between two entries of the rank directory
-_MOST_CACHED = 500_000
+_MOST_CACHED = 1_000_000
+_MARK, _LINE = "\0", 64  # new pieces are encoded in lines of so many, with marks between
 
 
 def encode_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -98,11 +99,24 @@ class TokenFile:
         return below
 
 
+class _Known(dict):
+    """Ids of parts as bytes; an unknown part is noted and stands for itself."""
+
+    def __init__(self) -> None:
+        super().__init__({"": b""})
+        self.missed: list[str] = []
+
+    def __missing__(self, part: str) -> str:
+        self.missed.append(part)
+        return part
+
+
 class _Encoder:
     """Ids of whole texts; what stands between spaces and line ends is encoded once and kept.
 
-    The tokenizer never joins anything across white space, so the ids of a
-    text are those of its parts. The memory of parts is bounded.
+    The tokenizer joins nothing across white space, nor a letter with the
+    ASCII punctuation that ends a part, so the ids of a text are those of its
+    pieces. The memory of pieces is bounded.
     """
 
     _current: dict[str, _Encoder] = {}
@@ -111,7 +125,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.known = _Known()
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -119,18 +134,49 @@ class _Encoder:
             cls._current[path] = cls(path)
         return cls._current[path]
 
+    def _learn(self, missed: set[str]) -> None:
+        split = {part: _pieces(part) for part in missed}
+        new = list({piece for pieces in split.values() for piece in pieces if piece not in self.known})
+        odd = [piece for piece in new if _MARK in piece]
+        plain = [piece for piece in new if _MARK not in piece] if odd else new
+        lines = [plain[at : at + _LINE] for at in range(0, len(plain), _LINE)]
+        encode = self.tokenizer.encode_batch_fast
+        for at in range(0, len(lines), 256):
+            some = lines[at : at + 256]
+            for line, code in zip(some, encode([f" {_MARK} ".join(x) for x in some], add_special_tokens=False)):
+                ids = np.array(code.ids, "<u4")
+                ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
+                data, start = ids.tobytes(), 0
+                for piece, end in zip(line, ends.tolist()):
+                    self.known[piece] = data[start:end]
+                    start = end + 4
+        for piece, code in zip(odd, encode(odd, add_special_tokens=False) if odd else ()):
+            self.known[piece] = np.array(code.ids, "<u4").tobytes()
+        for part, pieces in split.items():
+            if len(pieces) > 1 or pieces[0] != part:
+                self.known[part] = b"".join(map(self.known.__getitem__, pieces))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [_parts(t) for t in texts]
         if len(self.known) > _MOST_CACHED:
-            self.known = {"": b""}
-        new = list(set().union(*parts) - self.known.keys())
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for part, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[part] = np.array(code.ids, "<u4").tobytes()
+            self.known = _Known()
         known = self.known
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, p), end]), "<u4") for p in parts]
+        found = [list(map(known.__getitem__, _parts(t))) for t in texts]
+        if known.missed:
+            self._learn(set(known.missed))
+            known.missed = []
+            found = [[v if v.__class__ is bytes else known[v] for v in values] for values in found]
+        end = struct.pack("<I", END_ID)
+        return [np.frombuffer(b"".join([*values, end]), "<u4") for values in found]
+
+
+def _pieces(part: str) -> tuple[str, ...]:
+    """A part without its final ASCII punctuation, and that, where a letter comes before it."""
+    if "<|" in part:  # may hold control strings, which are matched as they stand
+        return (part,)
+    body = part.rstrip("!#$%&*,.;:?)")
+    if part.isascii():
+        part, body = part.lower(), body.lower()
+    return (body, part[len(body) :]) if body and len(body) < len(part) and body[-1].isalpha() else (part,)
 
 
 def _parts(text: str | None) -> list[str]:
