@@ -237,7 +237,7 @@ def read_token_files(files: DataFrame, path: str) -> DataFrame:
     before = Window.orderBy("part", "n").rowsBetween(Window.unboundedPreceding, -1)
     # one row a file, so ordering them all is bounded by the number of files
     placed = files.select("part", "n", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
-    spread = placed.repartition("file").select("file", "start")
+    spread = placed.repartition(max(1, files.count()), "file").select("file", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _filesystem(path)
