@@ -103,11 +103,14 @@ class SubsequenceSvm:
     shift: float = 0.0
 
     def __post_init__(self) -> None:
-        profiles = np.array([_profile(w) for w in self.landmarks]).reshape(len(self.landmarks), -1)
+        profiles = np.array([_profile(w) for w in self.landmarks]).reshape(len(self.landmarks), 32 * 1024)
         self.norms = np.sqrt((profiles**2).sum(axis=1))
         scaled = profiles / self.norms[:, None] if len(profiles) else profiles
         self.table = np.ascontiguousarray(scaled.T, np.float32)
         self.best = self.table.max(axis=1) if len(profiles) else np.zeros(32 * 1024, np.float32)
+        if not len(profiles):
+            self.whiten = np.zeros((0, 0))
+            return
         values, vectors = np.linalg.eigh(scaled @ scaled.T + 1e-3 * np.eye(len(scaled)))
         self.whiten = vectors / np.sqrt(values) @ vectors.T
 
@@ -336,9 +339,9 @@ class _Judged:
         return self.hits
 
 
-def with_scores(docs: DataFrame, model: SubsequenceSvm, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of ``docs`` and ``score``, a double, for every row; null and empty texts get the score of no words."""
-    kept = docs.select(*columns, F.col(text).alias("_tox_text"))
+def with_scores(docs: DataFrame, model: SubsequenceSvm, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` of ``docs`` and a double called ``name`` for every row; null and empty texts get the score of no words."""
+    kept = docs.select(*columns, F.col("text").alias("_tox_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judged = _Judged.of(model)
@@ -348,9 +351,9 @@ def with_scores(docs: DataFrame, model: SubsequenceSvm, columns: list[str], text
             hits = judged.alike_among(words)
             scores = [model.score(model.margin(model.sentences(t, judged.alike) if w & hits else [])) for t, w in zip(texts, words)]
             arrays = [*batch.columns[:-1], pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], name])
 
-    schema = kept.drop("_tox_text").schema.add("score", "double")
+    schema = kept.drop("_tox_text").schema.add(name, "double")
     return kept.mapInArrow(score, schema)
 
 
@@ -375,5 +378,5 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows whose text scores below the threshold; columns are those of ``docs``."""
-    scored = with_scores(docs, fitted(docs, labels), docs.columns)
-    return scored.where(F.col("score") < THRESHOLD).select(docs.columns)
+    scored = with_scores(docs, fitted(docs, labels), docs.columns, "_tox_score")
+    return scored.where(F.col("_tox_score") < THRESHOLD).select(docs.columns)
