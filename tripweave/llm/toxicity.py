@@ -30,7 +30,7 @@ LANDMARKS = 96
 #: A landmark is less alike than this to those chosen before it.
 ALIKE = 0.75
 #: Bounds of the training sample: documents of each label, and characters of one.
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 1500
 TRAIN_CHARS = 20_000
 THRESHOLD = 0.7
 #: A clean sentence called toxic costs as much as this many missed toxic ones.
@@ -39,6 +39,7 @@ CLEAN_COST = 4.0
 _WINDOW = 24
 _GAP = 31  # symbol of everything that is no letter
 _CELLS = 2_000_000
+_ROWS = 512  # texts whose words are held at a time
 _EDGES = ".,;:!?\"'()#$%&*"
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _SPELLED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
@@ -311,7 +312,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, each: in
 class _Judged:
     """What a worker knows of words, kept from task to task and bounded in size."""
 
-    MOST = 600_000
+    MOST = 400_000
     _current: _Judged | None = None
 
     def __init__(self, model: SubsequenceSvm) -> None:
@@ -345,7 +346,7 @@ def with_scores(docs: DataFrame, model: SubsequenceSvm, columns: list[str], name
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judged = _Judged.of(model)
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             words = [set(prepared(t).split()) if t else set() for t in texts]
             hits = judged.alike_among(words)
