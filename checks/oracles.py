@@ -172,7 +172,7 @@ def _both_ways(a: str, b: str) -> str:
 
 
 def _uniform(word: int) -> str:
-    digest = "md5(concat_ws(':', uid, stop_event, 'departure'))"
+    digest = "md5(concat_ws(':', uid, stop_event, month, 'departure'))"
     return f"(('0x' || substring({digest}, {1 + 8 * word}, 8))::bigint / 4294967296e0)"
 
 
@@ -193,17 +193,17 @@ select * exclude (hour, day), case
 from (
   select m.*, cast(floor(m.end_timestamp / 86400e0) as bigint) * 86400 as day, p.hour
   from ({moves}) m left join (
-    select uid, stop_event, min(hour) as hour from (
-      select uid, stop_event, hour,
-        sum(w) over (partition by uid, stop_event order by hour) as running,
-        sum(w) over (partition by uid, stop_event) as total,
-        count(*) over (partition by uid, stop_event order by hour) as marks,
-        count(*) over (partition by uid, stop_event) as all_marks
+    select uid, stop_event, month, min(hour) as hour from (
+      select uid, stop_event, month, hour,
+        sum(w) over (partition by uid, stop_event, month order by hour) as running,
+        sum(w) over (partition by uid, stop_event, month) as total,
+        count(*) over (partition by uid, stop_event, month order by hour) as marks,
+        count(*) over (partition by uid, stop_event, month) as all_marks
       from ({moves}) c join {weights} on
         cast(floor(c.end_timestamp / 86400e0) as bigint) * 86400 + hour * 3600
           between c.end_timestamp and c.next_start)
     where case when total > 0 then running > {_uniform(0)} * total else marks > {_uniform(0)} * all_marks end
-    group by 1, 2) p on p.uid = m.uid and p.stop_event = m.stop_event)"""
+    group by 1, 2, 3) p on p.uid = m.uid and p.stop_event = m.stop_event and p.month = m.month)"""
 
 
 def _first_last(departures: str) -> str:

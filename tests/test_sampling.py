@@ -13,7 +13,7 @@ EPOCH = datetime(1970, 1, 1)
 
 
 def uniforms(uid, event):
-    digest = hashlib.md5(f"{uid}:{event}:departure".encode()).hexdigest()
+    digest = hashlib.md5(f"{uid}:{event}:1:departure".encode()).hexdigest()
     return [int(digest[i : i + 8], 16) / 2**32 for i in (0, 8, 16)]
 
 
@@ -39,7 +39,7 @@ def plain_departure(weights, uid, event, end, start):
 def run(spark, dist, rows, zone="UTC"):
     df = spark.createDataFrame(
         rows, "uid bigint, stop_event bigint, end_timestamp bigint, next_start bigint"
-    )
+    ).withColumn("month", F.lit(1))
     got = with_informed_departure(df, dist, zone)
     assert got.columns == [*df.columns, "departure"]
     return {(r["uid"], r["stop_event"]): r["departure"] for r in got.collect()}
@@ -96,6 +96,7 @@ def test_uniform_stays_in_gap_and_repeats(spark):
     df = spark.range(1000).select(
         F.col("id").alias("uid"),
         F.col("id").alias("stop_event"),
+        F.lit(1).alias("month"),
         F.lit(1000).alias("end_timestamp"),
         F.lit(5000).alias("next_start"),
     )
@@ -106,3 +107,8 @@ def test_uniform_stays_in_gap_and_repeats(spark):
     assert once == again
     assert all(1000 <= d < 5000 for d in once)
     assert abs(sum(once) / 1000 - 3000) < 150
+
+
+def test_months_draw_differently(spark):
+    df = spark.createDataFrame([(1, 5, m, 0, 1000) for m in (1, 2)], "uid long, stop_event long, month int, end_timestamp long, next_start long")
+    assert len({r["departure"] for r in with_uniform_departure(df).collect()}) == 2

@@ -169,3 +169,17 @@ def test_geojson_collection_and_lines(spark, tmp_path):
         for r in spark.read.text(str(tmp_path / "out")).collect()
     ]
     assert sorted(kinds) == ["MultiPolygon", "Polygon", "Polygon"]
+
+
+
+@pytest.mark.parametrize("options", WAYS)
+def test_coordinates_out_of_reach_lie_in_no_zone(spark, options):
+    points = [(float("inf"), 1.0), (1e300, 1.0), (1.0, float("-inf")), (float("nan"), 1.0), (1.0, 1.0)]
+    assert locate(spark, zones(spark, ("a", 0, [box(0, 0, 2, 2)])), points, **options) == [None] * 4 + ["a"]
+
+
+@pytest.mark.parametrize("options", WAYS)
+def test_columns_keep_their_order(spark, options):
+    df = spark.createDataFrame([(1, 1.0, 1.0)], "id int, lon double, lat double")
+    found = assign_zone(df, zones(spark, ("a", 0, [box(0, 0, 2, 2)])), "lon", "lat", **options)
+    assert found.columns == ["id", "lon", "lat", "geomid"]

@@ -15,7 +15,7 @@ from tripweave.functions import digest_uniform, hour_of, local_seconds, row_dige
 from tripweave.sources.distributions import HourlyDistribution
 
 DEFAULT_SALT = "departure"
-_KEY = ("uid", "stop_event")
+_KEY = ("uid", "stop_event", "month")
 
 
 def with_raw_departure(moves: DataFrame, out: str = "departure") -> DataFrame:

@@ -68,7 +68,9 @@ def zone_frame(zones: DataFrame) -> ZoneFrame:
 
 
 def _cell_index(coordinate: str, cell: float) -> str:
-    return f"cast(floor({coordinate} / {cell!r}D) as int)"
+    """Null for coordinates that no cell number reaches, infinite and not-a-number ones too."""
+    at = f"floor({coordinate} / {cell!r}D)"
+    return f"if(abs({coordinate} / {cell!r}D) < 2147483647D, cast({at} as int), null)"
 
 
 def _cell_range(low: str, high: str, cell: float) -> Column:
@@ -200,4 +202,4 @@ def _assign_by_shuffle(
         .groupBy(lon, lat)
         .agg(F.expr("min(named_struct('zone_ord', zone_ord, 'geomid', geomid)).geomid").alias(out))
     )
-    return points.join(found, [lon, lat], "left")
+    return points.join(found, [lon, lat], "left").select(*points.columns, out)

@@ -62,19 +62,17 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_trips(trips: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Trip table partitioned by month.
+    """Trip table partitioned by month; a rerun replaces the whole table.
 
-    A rerun replaces the months it produces and leaves the others; what an
-    unfinished first write left behind is replaced altogether. Rows are
-    rebalanced by month, so small months share few files and a month that
-    holds most rows is split over many tasks.
+    Months that the new trips lack are gone afterwards, so two analyses never
+    mix. Rows are rebalanced by month, so small months share few files and a
+    month that holds most rows is split over many tasks.
     """
-    finished = table_ready(trips.sparkSession, path)
     (
         trips.select("uid", "rand_start_ts", "trip_start_hour", "month")
         .hint("rebalance", "month")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic" if finished else "static")
+        .option("partitionOverwriteMode", "static")
         .option("compression", "snappy")
         .option("maxRecordsPerFile", records_per_file)
         .partitionBy("month")
