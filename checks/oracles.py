@@ -8,8 +8,22 @@ from __future__ import annotations
 import re
 
 from checks.views import EV_DUCKDB, HOME_WORK_HOURS, TABLES
-from tripweave.plans.presets import MODULAR, PRESETS, RAW, UNIFORM
-from tripweave.sources.distributions import ABSENT_HOUR_WEIGHT
+
+# The named analyses as sampling, survey hours, type of stops left
+# out before sequencing, types at the two ends, first and last trip of the day only.
+ANALYSES = {
+    "HW_informed": ("informed", "hw", "O", ("H", "W"), True),
+    "HW_random_uniform": ("uniform", "hw", "O", ("H", "W"), True),
+    "HW_raw": ("raw", "hw", "O", ("H", "W"), True),
+    "HO_informed": ("informed", "ho", None, ("H", "O"), False),
+    "nonH_informed": ("informed", "nhb", "O", None, False),
+    "all_informed": ("informed", "all", "O", None, False),
+    "legacy_ho": ("informed", "ho", "W", ("H", "O"), True),
+    "legacy_nonh": ("informed", "nhb", "H", None, False),
+    "legacy_all": ("informed", "all", None, None, False),
+}
+COMPARED = ("HW_informed", "HW_random_uniform", "HW_raw", "HO_informed", "nonH_informed", "all_informed")
+ABSENT_HOUR_WEIGHT = 0.01
 
 CTES: dict[str, str] = {"ev": EV_DUCKDB, **TABLES}
 
@@ -90,7 +104,7 @@ CTES["od_ids"] = "select home_geomid as geomid from od union select work_geomid
 
 # -- surveys ------------------------------------------------------------------
 
-CTES["known"] = "select distinct distrito as geomid from survey_households"
+CTES["known"] = "select distinct distrito as geomid from known_households"
 
 CTES["flows"] = """
 select dto_origen as home_geomid, dto_dest as work_geomid,
@@ -178,9 +192,9 @@ def _uniform(word: int) -> str:
 
 def _departures(moves: str, how: str, weights: str) -> str:
     """Departure epoch per move; ``weights`` names an (hour, w) relation."""
-    if how == RAW:
+    if how == "raw":
         return f"select *, end_timestamp::double as departure from ({moves})"
-    if how == UNIFORM:
+    if how == "uniform":
         return (
             f"select *, end_timestamp + (next_start - end_timestamp) * {_uniform(0)} as departure "
             f"from ({moves})"
@@ -232,20 +246,19 @@ for _kind in ("hw", "ho", "nhb", "all"):
 
 
 def _preset_trips(name: str, weights: str | None = None) -> str:
-    p = PRESETS[name]
-    t = p.trips
-    source = f"next_{(t.exclude_type or 'n').lower()}"
+    sampling, survey, left_out, ends, daily_ends = ANALYSES[name]
+    source = f"next_{(left_out or 'n').lower()}"
     tests = [_REAL, _WEEKDAY, _SAME_DAY]
-    if t.origins:
-        tests.append(_both_ways(t.origins[0], t.dests[0]))
+    if ends:
+        tests.append(_both_ways(*ends))
     moves = f"select * from {source} where {' and '.join(tests)}"
-    rows = _departures(moves, p.sampling.strategy, weights or f"{p.survey}_weights")
-    if t.first_outbound:
+    rows = _departures(moves, sampling, weights or f"{survey}_weights")
+    if daily_ends:
         rows = _first_last(rows)
     return f"select *, cast(floor(departure / 3600) % 24 as int) as trip_start_hour from ({rows})"
 
 
-for _name in PRESETS:
+for _name in ANALYSES:
     CTES[f"trips_{_name.lower()}"] = _preset_trips(_name)
 CTES["trips_inline"] = _preset_trips("HW_informed", "inline_weights")
 CTES["trips_inline_all"] = _preset_trips("all_informed", "inline_weights")
@@ -263,7 +276,7 @@ from (select cast(range as int) as hour, (select count(*) from {trips} x where x
 
 
 CTES["profiles"] = " union all ".join(
-    f"select '{n}' as series, * from ({_profile(f'trips_{n.lower()}')})" for n in MODULAR
+    f"select '{n}' as series, * from ({_profile(f'trips_{n.lower()}')})" for n in COMPARED
 )
 
 
@@ -294,7 +307,7 @@ from (
 
 CTES["survey_interp"] = _interpolated("survey_hours", "hour", "percentage")
 CTES["pairing"] = "select * from (values " + ", ".join(
-    f"('{n}', '{PRESETS[n].survey}')" for n in MODULAR
+    f"('{n}', '{ANALYSES[n][1]}')" for n in COMPARED
 ) + ") as v(series, survey)"
 
 CTES["curves"] = """
@@ -335,19 +348,16 @@ def _moves(condition: str) -> str:
     return sql(f"select {_MOVE} from next_o where {condition}")
 
 
-def _dense(ids: str, source: str) -> str:
-    return f"""
-select h.geomid as home_geomid, w.geomid as work_geomid, coalesce(c.counts, 0) as counts
-from (select * from {ids} where geomid <> '0') h cross join (select * from {ids} where geomid <> '0') w
-left join {source} c on c.home_geomid = h.geomid and c.work_geomid = w.geomid"""
+def _aligned(ids: str, source: str) -> str:
+    ends = " and ".join(f"{e}_geomid in (select geomid from {ids} where geomid <> '0')" for e in ("home", "work"))
+    return f"select home_geomid, work_geomid, counts from {source} where {ends}"
 
 
-def _wide() -> str:
-    columns = ", ".join(
-        f"""round(max(case when work_geomid = '{z:03d}' then counts end), 6) as "{z:03d}" """
-        for z in range(25)
+def _totals(ids: str, source: str) -> str:
+    return sql(
+        f"select (select count(*) from {ids} where geomid <> '0') as zones, count(*) as filled, "
+        f"round(coalesce(sum(counts::double), 0), 3) as total from ({_aligned(ids, source)})"
     )
-    return sql(f"select home_geomid, {columns} from ({_dense('od_ids', 'expanded')}) group by 1")
 
 
 CTES["od_both"] = """
@@ -424,6 +434,13 @@ ORACLES: dict[str, str] = {
     "assign_fine_zone": sql(_FINE),
     "assign_fine_zone_shuffled": sql(_FINE),
     "od_pairs": sql("select * from od"),
+    "od_pairs_from_files": sql("select * from od"),
+    "profile_from_files": _RAW_PROFILE,
+    "od_expansion_both_ends": sql(
+        "select o.count_uid, o.home_geomid, o.work_geomid, round(h.expansion, 6) as home_expansion, "
+        "round(w.expansion, 6) as work_expansion from od o left join factors h on h.geomid = o.home_geomid "
+        "left join factors w on w.geomid = o.work_geomid"
+    ),
     "expansion_factors": sql(
         "select geomid, population, count_uid, round(expansion, 6) as expansion, "
         "round(scaled_users, 6) as scaled_users from factors"
@@ -444,14 +461,16 @@ ORACLES: dict[str, str] = {
     ),
     "od_expanded": sql("select home_geomid, work_geomid, round(counts, 6) as counts from expanded"),
     "zone_universe": sql("select geomid from od_ids"),
-    "od_wide": _wide(),
-    "od_unpivot": sql(
-        f"select home_geomid, work_geomid, round(counts, 6) as counts from ({_dense('od_ids', 'expanded')})"
+    "od_wide": sql(
+        "select home_geomid, count(*)::int as filled, string_agg(work_geomid, ',' order by work_geomid) as work_geomids, "
+        "round(sum(counts), 3) as total from expanded group by 1"
     ),
-    "od_dense": sql(
-        f"select home_geomid, work_geomid, round(counts, 6) as counts from ({_dense('od_ids', 'expanded')})"
+    "od_unpivot": sql("select home_geomid, work_geomid, round(counts, 6) as counts from expanded"),
+    "od_dense": _totals("od_ids", "expanded"),
+    "od_aligned": sql(
+        f"select home_geomid, work_geomid, round(counts, 6) as counts from ({_aligned('od_ids', 'expanded')})"
     ),
-    "survey_od_aligned": sql(_dense("od_ids", "survey_pairs")),
+    "survey_od_aligned": sql(_aligned("od_ids", "survey_pairs")),
     "od_compare_rows": sql(
         "select home_geomid, work_geomid, round(counts_lbs, 6) as counts_lbs, counts_eod, kind from od_both"
     ),
@@ -476,7 +495,7 @@ ORACLES: dict[str, str] = {
         "group by 1 having sum(cast(trunc(factor) as bigint)) > 0"
     ),
     "survey_od": sql("select * from survey_pairs"),
-    "survey_od_dense": sql(_dense("flow_ids", "flows")),
+    "survey_od_dense": _totals("flow_ids", "flows"),
     "survey_valid_trips": sql("select * from job"),
     "survey_hw_tours": _tour_legs("hw"),
     "survey_ho_tours": _tour_legs("ho"),
@@ -527,7 +546,7 @@ ORACLES: dict[str, str] = {
         "select uid, stop_event, round(departure, 3) as departure, trip_start_hour from trips_inline_all"
     ),
     "hourly_profile_rounded": sql(_profile("trips_hw_raw", "rounded")),
-    **{f"profile_{n}": _profile_query(f"trips_{n.lower()}") for n in PRESETS},
+    **{f"profile_{n}": _profile_query(f"trips_{n.lower()}") for n in ANALYSES},
     "compare_profiles": sql(
         "select series, trip_start_hour, trip_count, round(percentage_of_trips, 6) as percentage_of_trips from profiles"
     ),

@@ -21,7 +21,9 @@ from tripweave.plans import surveys as survey_plan
 from tripweave.plans.presets import INFORMED, MODULAR, PRESETS, RAW, Preset, Sampling, TripFilter, preset
 from tripweave.sources import (
     HourlyDistribution,
+    read_anchors,
     read_hourly_distribution,
+    read_stops,
     read_survey_csv,
     read_trips,
     read_zones,
@@ -176,10 +178,10 @@ def _expanded(t: Tables) -> DataFrame:
     return _expand(t, _od(t))
 
 
-def _matrix(t: Tables) -> tuple[DataFrame, list[str]]:
-    """Expanded pairs and the ids of the matrix they fill."""
+def _matrix(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Expanded pairs and the zones of the matrix they fill."""
     pairs = _od(t)
-    return _expand(t, pairs), od.zone_ids(od.zone_universe(pairs))
+    return _expand(t, pairs), od.zone_universe(pairs)
 
 
 # -- OD analysis --------------------------------------------------------------
@@ -223,17 +225,27 @@ def zone_universe(t: Tables) -> DataFrame:
 
 @query("od_wide")
 def od_wide(t: Tables) -> DataFrame:
-    wide = od.pivot_od(*_matrix(t))
-    return rounded(wide, *[c for c in wide.columns if c != "home_geomid"])
+    total = F.aggregate(F.map_values("cells"), F.lit(0.0), lambda a, x: a + x)
+    return od.pivot_od(_expanded(t)).select(
+        "home_geomid",
+        F.size("cells").alias("filled"),
+        F.array_join(F.map_keys("cells"), ",").alias("work_geomids"),
+        F.round(total, 3).alias("total"),
+    )
 
 
 @query("od_unpivot")
 def od_unpivot(t: Tables) -> DataFrame:
-    return rounded(od.unpivot_od(od.pivot_od(*_matrix(t))), "counts")
+    return rounded(od.unpivot_od(od.pivot_od(_expanded(t))), "counts")
 
 
 @query("od_dense")
 def od_dense(t: Tables) -> DataFrame:
+    return rounded(od.matrix_totals(*_matrix(t)), "total", digits=3)
+
+
+@query("od_aligned")
+def od_aligned(t: Tables) -> DataFrame:
     return rounded(od.align_matrix(*_matrix(t)), "counts")
 
 
@@ -243,8 +255,30 @@ def survey_od_aligned(t: Tables) -> DataFrame:
     return od.align_matrix(_survey_od(t), _matrix(t)[1])
 
 
+@query("od_expansion_both_ends")
+def od_expansion_both_ends(t: Tables) -> DataFrame:
+    pairs = _od(t)
+    both = od.attach_expansion(pairs, od.expansion_factors(t.zones, pairs), ("home", "work"))
+    return rounded(both, "home_expansion", "work_expansion")
+
+
+@query("od_pairs_from_files")
+def od_pairs_from_files(t: Tables) -> DataFrame:
+    anchors, places = scratch_path(t.spark, "anchors"), scratch_path(t.spark, "places")
+    t.anchors.write.parquet(anchors)
+    write_zones(t.zones, places)
+    return od_plan.od_pairs(read_anchors(t.spark, anchors), read_zones(t.spark, places, layout="lines"))
+
+
+@query("profile_from_files")
+def profile_from_files(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "stops")
+    t.stops.write.parquet(path)
+    return _profile(dep.departure_profile(read_stops(t.spark, path), preset("HW_raw")))
+
+
 def _survey_od(t: Tables) -> DataFrame:
-    return survey.survey_od(survey_plan.survey_flows(t.survey, t.households))
+    return survey.survey_od(survey_plan.survey_flows(t.survey, t.known_households))
 
 
 @query("od_compare_rows")
@@ -274,18 +308,18 @@ def survey_population(t: Tables) -> DataFrame:
 @query("survey_known_zones")
 def survey_known_zones(t: Tables) -> DataFrame:
     rows = survey.work_rows(survey.select_trips(t.survey))
-    return survey.keep_known_zones(rows, survey.zone_population(t.households))
+    return survey.keep_known_zones(rows, survey.zone_population(t.known_households))
 
 
 @query("survey_workers")
 def survey_workers(t: Tables) -> DataFrame:
-    return survey.zone_workers(survey_plan.survey_flows(t.survey, t.households))
+    return survey.zone_workers(survey_plan.survey_flows(t.survey, t.known_households))
 
 
 @query("survey_workers_by_purpose")
 def survey_workers_by_purpose(t: Tables) -> DataFrame:
     return survey.zone_workers(
-        survey_plan.survey_flows(t.survey, t.households, weekday=False, purpose=2)
+        survey_plan.survey_flows(t.survey, t.known_households, weekday=False, purpose=2)
     )
 
 
@@ -294,8 +328,8 @@ query("survey_od")(_survey_od)
 
 @query("survey_od_dense")
 def survey_od_dense(t: Tables) -> DataFrame:
-    flows = survey_plan.survey_flows(t.survey, t.households)
-    return od.align_matrix(flows, od.zone_ids(od.zone_universe(flows)))
+    flows = survey_plan.survey_flows(t.survey, t.known_households)
+    return rounded(od.matrix_totals(flows, od.zone_universe(flows)), "total", digits=3)
 
 
 @query("survey_valid_trips")
@@ -372,7 +406,7 @@ def next_stop(t: Tables) -> DataFrame:
 @query("next_stop_in_runs")
 def next_stop_in_runs(t: Tables) -> DataFrame:
     kept = trips.exclude_location_type(t.stops, "O")
-    return trips.with_next_stop(kept, split=True, run_width=64)
+    return trips.with_next_stop(kept, split=True, largest=4)
 
 
 @query("real_moves")

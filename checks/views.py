@@ -61,7 +61,9 @@ select c_custkey, 2.5e0, 0.5e0, 3.5e0, 0.5e0 from customer where c_custkey % 50
 select lpad(cast(c_nationkey as string), 3, '0') as distrito, '09' as ent,
   lpad(cast(c_nationkey as string), 3, '0') as mun,
   cast(1 + c_custkey % 6 as int) as p1_1, 10 + c_custkey % 90 as factor
-from customer where c_nationkey < 23""",
+from customer""",
+    "known_households": """
+select * from survey_households where distrito < '023'""",
     "survey_trips": """
 select l_orderkey as id_soc, lpad(cast(l_suppkey % 25 as string), 3, '0') as dto_origen,
   lpad(cast(l_partkey % 25 as string), 3, '0') as dto_dest,
@@ -147,6 +149,11 @@ class Tables:
     def households(self) -> DataFrame:
         return self._derive("survey_households")
 
+    @property
+    def known_households(self) -> DataFrame:
+        """Households of the zones that the survey knows."""
+        return self.households.filter("distrito < '023'")
+
     @property
     def survey(self) -> DataFrame:
         return self._derive("survey_trips")

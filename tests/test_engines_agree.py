@@ -19,9 +19,7 @@ def test_every_query_has_sql():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-# At this scale some of the 25 zones hold no user, so the matrix has fewer
-# columns than its SQL names; test_od.py covers the matrix.
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"od_wide"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_agrees_and_plan_is_distributed(spark, con, name):
     df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()

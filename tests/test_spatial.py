@@ -31,7 +31,7 @@ def locate(spark, zone_table, points, **options):
     return [r["geomid"] for r in rows]
 
 
-WAYS = [{}, {"cell": 0.25}, {"cell": 7.0}, {"broadcast_bytes": 0}]
+WAYS = [{}, {"broadcast_bytes": 0}]
 
 
 @pytest.mark.parametrize("options", WAYS)
@@ -76,7 +76,7 @@ def contains(rings, x, y):
     return odd
 
 
-@pytest.mark.parametrize("options", [{}, {"cell": 0.3}, {"cell": 0.3, "broadcast_bytes": 0}])
+@pytest.mark.parametrize("options", WAYS)
 def test_random_polygons_equal_brute_force(spark, options):
     rng = random.Random(3)
     shapes = []
@@ -97,21 +97,53 @@ def test_random_polygons_equal_brute_force(spark, options):
 
 
 def test_inner_cells_carry_no_edges(spark):
-    table = zones(spark, ("a", 0, [box(0.05, 0.05, 9.95, 9.95)]))
-    cells = zone_cells(table, 1.0)
+    cells = zone_cells(zones(spark, ("a", 0, [box(0.1, 0.1, 15.9, 15.9)])))
     inner, rim = (cells.filter(F.col("solid") == s).collect() for s in (True, False))
-    assert len(inner) == 64 and len(rim) == 36
+    assert len(inner) == 4 and len(rim) == 12
     assert all(len(c["edges"]) == 0 for c in inner)
     assert all(1 <= len(c["edges"]) <= 3 for c in rim)
 
 
-def test_cells_stay_bounded_when_sizes_differ(spark):
-    shapes = [("big", 0, [box(0, 0, 1000, 1000)]), ("flat", 9, [box(0, 5, 1000, 5.0001)])]
-    shapes += [(f"s{k}", k, [box(k, 0, k + 0.001, 0.001)]) for k in range(1, 8)]
+def many_zones(spark, n, mixed):
+    """Tiles of a strip, a tenth of them a hundred times larger where sizes are mixed."""
+    side = F.when((F.col("id") % 10 == 0) & F.lit(mixed), 100.0).otherwise(1.0)
+    at = [F.floor(F.col("id") / 300) * side, F.col("id") % 300 * side]
+    (x0, y0), (x1, y1) = at, [a + side for a in at]
+    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+    table = spark.range(n).select(F.col("id").cast("string").alias("geomid"), F.col("id").alias("zone_ord"), F.array(ring).alias("rings"))
+    return table.withColumns(bounds())
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_zones_per_cell_and_cells_per_zone_stay_flat(spark, mixed):
+    for n in (1_000, 30_000):
+        cells = zone_cells(many_zones(spark, n, mixed))
+        assert cells.groupBy("cell_level", "cell_x", "cell_y").count().agg(F.max("count")).first()[0] <= 4
+        assert cells.groupBy("geomid").count().agg(F.max("count")).first()[0] <= 25
+
+
+def test_levels_follow_zone_sizes(spark):
+    shapes = [("big", 0, [box(0, 0, 1024, 1024)]), ("flat", 9, [box(0, 5, 1024, 5.0001)]), ("none", 3, [box(1, 1, 1, 1)])]
+    shapes += [(f"s{k}", k, [box(k, 0, k + 0.125, 0.125)]) for k in range(1, 8)]
     frame = zone_frame(zones(spark, *shapes))
-    assert frame.extent == (0, 0, 1000, 1000)
-    assert 2 < frame.cell < 3
-    assert zone_cells(zones(spark, *shapes), frame.cell).count() < 3 * 200_000 + 4 * len(shapes)
+    assert frame.extent == (0, 0, 1024, 1024)
+    assert frame.levels == [-5, 8]
+    assert locate(spark, zones(spark, *shapes[3:], *shapes[:1]), [(1.06, 0.06), (1.5, 0.5)]) == ["big", "big"]
+
+
+@pytest.mark.parametrize("options", WAYS)
+def test_many_levels_and_tiny_zones_far_out(spark, options):
+    shapes = [(f"z{k}", k, [box(-(2.0**k), -(2.0**k), 2.0**k, 2.0**k)]) for k in range(12)]
+    shapes.append(("tiny", 50, [box(1e9, 1e9, 1e9 + 1e-6, 1e9 + 1e-6)]))
+    points = [(0.0, 0.5), (1.5, 0.0), (2000.0, 0.0), (3000.0, 0.0), (1e9 + 4e-7, 1e9 + 4e-7)]
+    assert locate(spark, zones(spark, *shapes), points, **options) == ["z0", "z1", "z11", None, "tiny"]
+
+
+def test_no_zones(spark):
+    none = zones(spark, ("a", 0, [box(0, 0, 1, 1)])).limit(0)
+    for options in WAYS:
+        assert locate(spark, none, [(0.5, 0.5)], **options) == [None]
 
 
 def test_plan_has_no_shuffle_of_points(spark):

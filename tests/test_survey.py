@@ -147,3 +147,12 @@ def test_survey_clean_names_all_products(spark):
 def test_unknown_series_is_refused(spark):
     with pytest.raises(ValueError, match="unknown survey series"):
         hour_shares(table(spark, [trip()]), "zz")
+
+
+def test_large_weights_are_counted_without_copies_and_copied_in_blocks(spark):
+    rows = spark.createDataFrame([("a", 1e8), ("a", 2.9), ("b", 0.5)], "kind string, factor double")
+    assert [tuple(r) for r in survey.replicated_counts(rows, "kind").collect()] == [("a", 100_000_002)]
+    some = spark.createDataFrame([("a", 65_536.0), ("b", 131_073.2), ("c", 1.0)], "kind string, factor double")
+    copies = survey.replicate_by_weight(some)
+    assert copies.columns == ["kind", "factor"]
+    assert {r["kind"]: r["count"] for r in copies.groupBy("kind").count().collect()} == {"a": 65_536, "b": 131_073, "c": 1}

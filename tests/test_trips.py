@@ -58,6 +58,19 @@ def test_next_stop_matches_plain_window(spark, width):
         assert sorted(map(str, got.collect())) == want
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string", "timestamp"])
+def test_runs_follow_counts_not_key_values(spark, kind):
+    key = {"bigint": "id * 1000000", "string": "lpad(id, 9, '0')", "timestamp": "timestamp_seconds(id * 86400)"}[kind]
+    df = spark.range(4_000).selectExpr(
+        "if(id % 40 = 0, 2, 1) as uid", f"{key} as stop_event", "id as start_timestamp", "id + 1 as end_timestamp",
+        "concat('c', id % 5) as cluster_label", "'H' as location_type", "false as weekend", "1 as month",
+    )
+    (row,) = trips.run_cuts(df, 400).collect()
+    assert row["owner_uid"] == 1 and 8 <= len(row["cuts"]) <= 40
+    want = sorted(map(str, trips.with_next_stop(df, False).collect()))
+    assert sorted(map(str, trips.with_next_stop(df, True, 400).collect())) == want
+
+
 def test_large_users_are_measured(spark):
     df = stops(spark, *[stop(1, i, i / 10, "H") for i in range(5)], stop(2, 1, 1, "H"))
     assert trips.needs_runs(df, largest=4)
@@ -196,12 +209,6 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_split_users_reuse_their_shuffle(spark):
-    df = stops(spark, *[stop(u, i, 6 + i, "HW"[i % 2]) for u in range(20) for i in range(8)])
-    plan = executed(trips.with_next_stop(df.repartition(3), True, 4))
-    assert plan.count("ReusedExchange") == 1
-
-
 def test_whole_users_reach_the_daily_ends_in_one_shuffle(spark):
     df = stops(spark, *[stop(u, i, 6 + i, "HW"[i % 2]) for u in range(20) for i in range(8)])
     plan = executed(dep.departure_trips(df, commute(first_outbound=True, last_return=True), split=False))

@@ -9,7 +9,6 @@ from tripweave.functions import expansion_factor, fill_int, round_to_multiple
 from tripweave.operators.zones import Extent
 
 UNKNOWN_ZONE = "0"
-MAX_WIDE_ZONES = 10_000
 PAIR = ("home_geomid", "work_geomid")
 
 
@@ -139,34 +138,45 @@ def zone_universe(od: DataFrame) -> DataFrame:
     )
 
 
-def zone_ids(universe: DataFrame, limit: int = MAX_WIDE_ZONES) -> list[str]:
-    """Sorted ids for use as matrix columns; refuses more than ``limit``.
+def align_matrix(
+    od: DataFrame, universe: DataFrame, value: str = "counts", unknown: bool = False
+) -> DataFrame:
+    """The matrix on the zones of ``universe``: its pairs with trips.
 
-    Beyond it a matrix has no sensible wide form: keep the long table.
+    All other pairs of those zones are zeros and are not written, so the table
+    grows with the trips and not with the square of the zones.
     """
-    rows = universe.select("geomid").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} zones: use the long table instead of a matrix")
-    return sorted(r["geomid"] for r in rows)
-
-
-def pivot_od(od: DataFrame, ids: list[str], value: str = "counts", unknown: bool = False) -> DataFrame:
-    """Square matrix: a row per id in ``ids``, a column per id, 0 where no trip."""
-    ids = [i for i in ids if unknown or i != UNKNOWN_ZONE]
-    wide = od.groupBy("home_geomid").pivot("work_geomid", ids).agg(F.sum(value))
-    spine = od.sparkSession.createDataFrame([(i,) for i in ids], "home_geomid string")
-    zero = F.lit(0).cast(od.schema[value].dataType)
-    return spine.join(wide, "home_geomid", "left").select(
-        "home_geomid", *[F.coalesce(F.col(f"`{i}`"), zero).alias(i) for i in ids]
+    ids = _matrix_zones(universe, unknown)
+    for end in PAIR:
+        od = od.join(ids.select(F.col("geomid").alias(end)), end, "left_semi")
+    return od.select(*PAIR, value)
+
+
+def _matrix_zones(universe: DataFrame, unknown: bool) -> DataFrame:
+    return universe if unknown else universe.filter(F.col("geomid") != UNKNOWN_ZONE)
+
+
+def matrix_totals(
+    od: DataFrame, universe: DataFrame, value: str = "counts", unknown: bool = False
+) -> DataFrame:
+    """One row on the aligned matrix: ``zones``, ``filled`` pairs and their ``total``."""
+    zones = _matrix_zones(universe, unknown).agg(F.count("*")).scalar()
+    return align_matrix(od, universe, value, unknown).agg(
+        zones.alias("zones"),
+        F.count("*").alias("filled"),
+        F.coalesce(F.sum(F.col(value).cast("double")), F.lit(0.0)).alias("total"),
     )
 
 
-def unpivot_od(wide: DataFrame, value: str = "counts") -> DataFrame:
-    """Matrix back to one row per pair."""
-    ids = [f"`{c}`" for c in wide.columns if c != "home_geomid"]
-    return wide.unpivot("home_geomid", ids, "work_geomid", value)
+def pivot_od(od: DataFrame, value: str = "counts") -> DataFrame:
+    """A sparse row per home zone: ``cells`` maps work zones to values, in their order.
+
+    A pair given twice is an error, as two values claim one cell.
+    """
+    cells = F.sort_array(F.collect_list(F.struct("work_geomid", value)))
+    return od.groupBy("home_geomid").agg(F.map_from_entries(cells).alias("cells"))
 
 
-def align_matrix(od: DataFrame, ids: list[str], value: str = "counts", unknown: bool = False) -> DataFrame:
-    """Long form of the matrix on ``ids``: every pair, 0 where there is no trip."""
-    return unpivot_od(pivot_od(od, ids, value, unknown), value)
+def unpivot_od(rows: DataFrame, value: str = "counts") -> DataFrame:
+    """Sparse rows back to one row per pair."""
+    return rows.select("home_geomid", F.explode("cells").alias("work_geomid", value))

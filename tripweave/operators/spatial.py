@@ -1,14 +1,16 @@
 """Point-in-zone assignment as an equi-join on grid cells.
 
-Zones are cut into the cells of a uniform grid. A cell that no edge of a zone
-touches lies wholly inside or wholly outside of it, so most points are settled
-by the join alone; in the other cells a point is tested against the few edges
-that a ray from that cell can meet.
+Each zone is cut into the cells of a grid that suits its own size: cells are
+powers of two wide, and the power is the zone's level. A zone has a few cells
+however large it is, a cell meets the few zones of its size that lie there
+however many there are, and a point looks up one cell on each level in use. A
+cell that no edge of a zone touches lies wholly inside or wholly outside of it,
+so many points are settled by the join alone; in the other cells a point is
+tested against the few edges that a ray from that cell can meet.
 """
 
 from __future__ import annotations
 
-from math import sqrt
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -26,77 +28,74 @@ from tripweave.operators.sizing import BROADCAST_BYTES, fits_broadcast
 from tripweave.operators.zones import Extent, latest_shapes
 
 # The finer the grid, the more points fall into cells that lie wholly inside a
-# zone and need no look at its edges.
-CELLS_PER_ZONE_SIDE = 8
-CELLS_IN_TOTAL = 200_000
-_CELL = ("cell_x", "cell_y")
+# zone and need no look at its edges. A zone has at most (this + 1) ** 2 cells.
+CELLS_PER_ZONE_SIDE = 4
+#: Points look cells up by chained joins on up to this many levels, else by one shuffled join.
+CHAINED_LEVELS = 8
+# Cell numbers stay below 2 ** 41, also for tiny zones far from the origin.
+_LARGEST_POWER = 40
+_CELL = ("cell_level", "cell_x", "cell_y")
 _EDGE_BYTES = 40
 _ROW_BYTES = 96
 
 
 class ZoneFrame(NamedTuple):
-    """The box around all zones and a cell size that suits them."""
+    """The box around all zones and the levels of their grids."""
 
     extent: Extent
-    cell: float
+    levels: list[int]
 
 
-def zone_frame(zones: DataFrame) -> ZoneFrame:
-    """One pass over the zones.
+def _level() -> Column:
+    """Power of two that is the cell width of a zone; null for a zone without extent."""
+    side = "greatest(maxx - minx, maxy - miny)"
+    far = "greatest(abs(minx), abs(maxx), abs(miny), abs(maxy))"
+    own, least = f"ceil(log2({side} / {CELLS_PER_ZONE_SIDE}))", f"ceil(log2({far})) - {_LARGEST_POWER}"
+    return F.expr(f"if({side} > 0 and {far} < 1e300D, cast(greatest({own}, {least}) as int), null)")
 
-    The cell is a part of the median zone width, but not so small that all zones
-    of width w and height h together cover too many: with N cells aimed at,
-    ``sum(w * h) / cell**2 <= N`` and ``sum(w + h) / cell <= N``, so no more than
-    ``3 * N + 4 * zones`` cells arise however the sizes differ.
-    """
-    width, height = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
+
+def zone_frame(zones: DataFrame) -> ZoneFrame:
+    """One pass over the zones. Levels are few: doubles have some two thousand powers of two."""
     row = zones.agg(
         *[getattr(F, end[:3])(end).alias(end) for end in Extent._fields],
-        F.percentile_approx(F.least(width, height), 0.5).alias("median"),
-        F.sum(width * height).alias("area"),
-        F.sum(width + height).alias("sides"),
+        F.collect_set(_level()).alias("levels"),
     ).first()
-    extent = Extent(*[row[end] for end in Extent._fields])
-    if row["median"] is None:
-        return ZoneFrame(extent, 1.0)
-    cell = max(
-        row["median"] / CELLS_PER_ZONE_SIDE,
-        sqrt(row["area"] / CELLS_IN_TOTAL),
-        row["sides"] / CELLS_IN_TOTAL,
-    )
-    return ZoneFrame(extent, cell or 1.0)
+    return ZoneFrame(Extent(*[row[end] for end in Extent._fields]), sorted(row["levels"]))
 
 
-def _cell_index(coordinate: str, cell: float) -> str:
+def _cell_index(coordinate: str, size: str) -> str:
     """Null for coordinates that no cell number reaches, infinite and not-a-number ones too."""
-    at = f"floor({coordinate} / {cell!r}D)"
-    return f"if(abs({coordinate} / {cell!r}D) < 2147483647D, cast({at} as int), null)"
+    at = f"{coordinate} / {size}"
+    return f"if(abs({at}) < 4503599627370496D, cast(floor({at}) as bigint), null)"
 
 
-def _cell_range(low: str, high: str, cell: float) -> Column:
-    return F.explode(F.expr(f"sequence({_cell_index(low, cell)}, {_cell_index(high, cell)})"))
+def _cell_range(low: str, high: str) -> Column:
+    return F.explode(F.expr(f"sequence({_cell_index(low, 'size')}, {_cell_index(high, 'size')})"))
 
 
-def zone_cells(zones: DataFrame, cell: float) -> DataFrame:
-    """``cell_x, cell_y, zone_ord, geomid, solid, edges`` per zone and cell.
+def zone_cells(zones: DataFrame) -> DataFrame:
+    """``cell_level, cell_x, cell_y, zone_ord, geomid, solid, edges`` per zone and cell.
 
     ``solid`` cells lie wholly inside the zone and carry no edges.
     """
-    size, pad = f"{cell!r}D", f"{cell * 1e-9!r}D"
+    pad = "size * 1e-9D"
     return (
         latest_shapes(zones)
         .withColumns({**bounds(), "all_edges": F.expr(ring_edges("rings"))})
-        .withColumn("cell_x", _cell_range("minx", "maxx", cell))
-        .withColumn("cell_y", _cell_range("miny", "maxy", cell))
+        .withColumn("cell_level", _level())
+        .filter("cell_level is not null")
+        .withColumn("size", F.expr("pow(2D, cell_level)"))
+        .withColumn("cell_x", _cell_range("minx", "maxx"))
+        .withColumn("cell_y", _cell_range("miny", "maxy"))
         .selectExpr(
             *_CELL,
             "zone_ord",
             "geomid",
             "all_edges",
-            f"cell_x * {size} - {pad} as x0",
-            f"cell_y * {size} - {pad} as y0",
-            f"(cell_x + 1) * {size} + {pad} as x1",
-            f"(cell_y + 1) * {size} + {pad} as y1",
+            f"cell_x * size - {pad} as x0",
+            f"cell_y * size - {pad} as y0",
+            f"(cell_x + 1) * size + {pad} as x1",
+            f"(cell_y + 1) * size + {pad} as y1",
         )
         .withColumn("near", F.expr(edges_near_box("all_edges")))
         .withColumn("solid", F.expr(box_is_clear("near")))
@@ -113,43 +112,44 @@ def assign_zone(
     lon: str,
     lat: str,
     out: str = "geomid",
-    cell: float | None = None,
+    levels: list[int] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Add ``out``: the first zone that strictly contains the point, else null."""
-    return assign_zones(points, zones, [(lon, lat, out)], cell, broadcast_bytes)
+    return assign_zones(points, zones, [(lon, lat, out)], levels, broadcast_bytes)
 
 
 def assign_zones(
     points: DataFrame,
     zones: DataFrame,
     targets: list[tuple[str, str, str]],
-    cell: float | None = None,
+    levels: list[int] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """``assign_zone`` for several ``(lon, lat, out)`` against one zone grid."""
-    cell = cell or zone_frame(zones).cell
-    cells = zone_cells(zones, cell)
-    small = _cells_fit(zones, cells, cell, broadcast_bytes)
+    """``assign_zone`` for several ``(lon, lat, out)`` against the same cells.
+
+    ``levels`` are those of ``zone_frame(zones)``, where it is known already.
+    """
+    levels = zone_frame(zones).levels if levels is None else levels
+    cells = zone_cells(zones)
+    small = len(levels) <= CHAINED_LEVELS and _cells_fit(zones, cells, broadcast_bytes)
     lookup = F.broadcast(_cell_lists(cells)) if small else None
     for lon, lat, out in targets:
         if small:
-            points = _assign_by_lookup(points, lookup, lon, lat, out, cell)
+            points = _assign_by_lookup(points, lookup, lon, lat, out, levels)
         else:
-            points = _assign_by_shuffle(points, cells, lon, lat, out, cell)
+            points = _assign_by_shuffle(points, cells, lon, lat, out, levels)
     return points
 
 
-def _cells_fit(zones: DataFrame, cells: DataFrame, cell: float, limit: int) -> bool:
+def _cells_fit(zones: DataFrame, cells: DataFrame, limit: int) -> bool:
     """Whether the cell table may be broadcast.
 
     A ceiling from the zones alone (every cell with every edge) settles most
     cases; only beyond it is the cell table itself measured.
     """
-    vertices = "aggregate(rings, 0, (n, r) -> n + size(r))"
-    ceiling = F.expr(f"""
-((maxx - minx) / {cell!r}D + 2) * ((maxy - miny) / {cell!r}D + 2)
-  * ({_ROW_BYTES} + {_EDGE_BYTES} * {vertices})""")
+    vertices = "aggregate(rings, 0L, (n, r) -> n + size(r))"
+    ceiling = F.expr(f"{(CELLS_PER_ZONE_SIDE + 1) ** 2} * ({_ROW_BYTES} + {_EDGE_BYTES} * {vertices})")
     measured = F.size("edges") * _EDGE_BYTES + _ROW_BYTES
     return fits_broadcast(zones, ceiling, limit) or fits_broadcast(cells, measured, limit)
 
@@ -164,28 +164,40 @@ def _cell_lists(cells: DataFrame) -> DataFrame:
     lists = cells.groupBy(*_CELL).agg(F.array_sort(F.collect_list(zone)).alias("zones"))
     return lists.selectExpr(
         *_CELL,
-        "if(zones[0].solid, zones[0].geomid, null) as sure",
+        "if(zones[0].solid, named_struct('zone_ord', zones[0].zone_ord, 'geomid', zones[0].geomid), null) as sure",
         "if(zones[0].solid, null, zones) as unsure",
     )
 
 
+def _cell_of(lon: str, lat: str) -> dict[str, Column]:
+    size = "pow(2D, cell_level)"
+    return {"cell_x": F.expr(_cell_index(lon, size)), "cell_y": F.expr(_cell_index(lat, size))}
+
+
 def _assign_by_lookup(
-    points: DataFrame, lookup: DataFrame, lon: str, lat: str, out: str, cell: float
+    points: DataFrame, lookup: DataFrame, lon: str, lat: str, out: str, levels: list[int]
 ) -> DataFrame:
-    """Each point meets at most one lookup row, so no shuffle and no regrouping."""
+    """Each point meets at most one lookup row a level, so no shuffle and no regrouping."""
     containing = f"filter(unsure, z -> z.solid or {strictly_inside('z.edges', lon, lat)})"
-    return (
-        points.withColumns(
-            {"cell_x": F.expr(_cell_index(lon, cell)), "cell_y": F.expr(_cell_index(lat, cell))}
+    named = f"transform({containing}, z -> named_struct('zone_ord', z.zone_ord, 'geomid', z.geomid))"
+    columns, found = points.columns, []
+    for n, level in enumerate(levels):
+        found.append(f"found_on_{n}")
+        points = (
+            points.withColumn("cell_level", F.lit(level))
+            .withColumns(_cell_of(lon, lat))
+            .join(lookup, list(_CELL), "left")
+            .withColumn(found[-1], F.expr(f"coalesce(sure, get({named}, 0))"))
+            .drop(*_CELL, "sure", "unsure")
         )
-        .join(lookup, list(_CELL), "left")
-        .withColumn(out, F.expr(f"coalesce(sure, get({containing}, 0).geomid)"))
-        .drop(*_CELL, "sure", "unsure")
-    )
+    if not found:
+        return points.withColumn(out, F.lit(None).cast("string"))
+    first = F.expr(f"array_min(array({', '.join(found)})).geomid")
+    return points.select(*columns, first.alias(out))
 
 
 def _assign_by_shuffle(
-    points: DataFrame, cells: DataFrame, lon: str, lat: str, out: str, cell: float
+    points: DataFrame, cells: DataFrame, lon: str, lat: str, out: str, levels: list[int]
 ) -> DataFrame:
     """For zone tables of any size: settle distinct coordinates, then join back.
 
@@ -193,10 +205,10 @@ def _assign_by_shuffle(
     shuffled joins can be split by the adaptive skew handling.
     """
     at = points.select(lon, lat).na.drop().distinct()
+    every = F.array(*[F.lit(level) for level in levels]).cast("array<int>")
     found = (
-        at.withColumns(
-            {"cell_x": F.expr(_cell_index(lon, cell)), "cell_y": F.expr(_cell_index(lat, cell))}
-        )
+        at.withColumn("cell_level", F.explode(every))
+        .withColumns(_cell_of(lon, lat))
         .join(cells, list(_CELL))
         .filter(f"solid or {strictly_inside('edges', lon, lat)}")
         .groupBy(lon, lat)

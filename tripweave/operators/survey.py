@@ -28,6 +28,8 @@ _TRIP_NAMES = {
     "p5_3": "day_type",
 }
 
+COPIES_A_BLOCK = 65_536
+
 
 # -- zones and flows ----------------------------------------------------------
 
@@ -91,15 +93,30 @@ def zone_workers(flows: DataFrame) -> DataFrame:
 
 
 def replicate_by_weight(rows: DataFrame, weight: str = "factor") -> DataFrame:
-    """Each row ``int(weight)`` times; rows of weight 0 vanish."""
-    times = truncated_weight(F.col(weight))
+    """Each row ``int(weight)`` times; rows of weight 0 vanish.
+
+    Copies come in blocks, so that no row carries an array of ``weight`` elements.
+    Where only numbers of copies are wanted, ``replicated_counts`` makes none.
+    """
+    times = truncated_weight(F.col(weight)).cast("bigint")
     return (
-        rows.filter(times > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
-        .drop("copy")
+        rows.withColumn("times", times)
+        .filter(F.col("times") > 0)
+        .withColumn("block", F.explode(F.expr(f"sequence(0L, (times - 1) div {COPIES_A_BLOCK})")))
+        .withColumn(
+            "copy",
+            F.explode(F.expr(f"sequence(1L, least({COPIES_A_BLOCK}L, times - block * {COPIES_A_BLOCK}))")),
+        )
+        .drop("times", "block", "copy")
     )
 
 
+def replicated_counts(rows: DataFrame, *by: str, weight: str = "factor", out: str = "people") -> DataFrame:
+    """How many copies ``replicate_by_weight`` makes of the rows of each group."""
+    times = truncated_weight(F.col(weight)).cast("bigint")
+    return rows.filter(times > 0).groupBy(*by).agg(F.sum(times).alias(out))
+
+
 def category_counts(rows: DataFrame, category: str) -> DataFrame:
     return rows.groupBy(category).agg(F.count("*").alias("rows"))
 

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.functions import date_of, local_seconds
+from tripweave.operators.sizing import fits_broadcast
 
-# Up to this many stops of one user and month are sorted in one task. Beyond it
-# stops are windowed in runs of RUN_WIDTH order keys, so that no user has to fit.
+# Up to this many stops of one user and month are sorted in one task. A larger
+# user's stops are cut into runs of about half as many, so that no user has to fit.
 LARGEST_WHOLE_USER = 2_000_000
-RUN_WIDTH = 1 << 20
 
 _OWNER = ("uid", "month")
 _ORDER = ("stop_event", "start_timestamp", "end_timestamp", "cluster_label", "location_type", "weekend")
@@ -56,39 +56,66 @@ def needs_runs(stops: DataFrame, largest: int = LARGEST_WHOLE_USER) -> bool:
 
 
 def with_next_stop(
-    stops: DataFrame, split: bool | None = None, run_width: int = RUN_WIDTH
+    stops: DataFrame, split: bool | None = None, largest: int = LARGEST_WHOLE_USER
 ) -> DataFrame:
     """Add label, start, type and weekend flag of the user's next stop that month.
 
-    ``split`` says whether users must be cut into runs; by default it is
-    measured. Both ways give the same rows.
+    ``split`` says whether users of more than ``largest`` stops must be cut into
+    runs; by default it is measured. Both ways give the same rows, for order
+    keys of any type.
     """
     if split is None:
-        split = needs_runs(stops)
+        split = needs_runs(stops, largest)
     following = F.struct(*[F.col(c).alias(n) for c, n in _NEXT.items()])
     if split:
-        sequenced = _next_in_runs(stops, following, run_width)
+        sequenced = _next_in_runs(stops, following, largest)
     else:
         whole = Window.partitionBy(*_OWNER).orderBy(*_ORDER)
         sequenced = stops.withColumn("following", F.lead(following).over(whole))
     return sequenced.select(*stops.columns, "following.*")
 
 
-def _next_in_runs(stops: DataFrame, following: Column, run_width: int) -> DataFrame:
-    """``lead`` inside (user, month, run of order keys), then across the seams.
+def run_cuts(stops: DataFrame, largest: int = LARGEST_WHOLE_USER) -> DataFrame:
+    """``owner_uid, owner_month, cuts`` of users with more than ``largest`` stops in a month.
 
-    Only the first and last stop of each run meet in the second window.
+    ``cuts`` are the order keys at which runs begin: those of the user's own
+    keys whose hash divides by half of ``largest``, so runs are about that long
+    whatever the keys are, and cuts are few against the stops.
     """
+    sizes = stops.groupBy(*_OWNER).agg(F.count("*").alias("stops")).filter(F.col("stops") > largest)
+    owners = sizes.select(F.col("uid").alias("owner_uid"), F.col("month").alias("owner_month"))
+    chosen = F.pmod(F.xxhash64("stop_event"), F.lit(max(1, largest // 2))) == 0
+    keys = stops.filter(chosen).select(*_OWNER, "stop_event")
+    found = owners.join(keys, _is_owner(), "left")
+    cuts = F.array_sort(F.collect_set("stop_event"))
+    return found.groupBy("owner_uid", "owner_month").agg(cuts.alias("cuts"))
+
+
+def _is_owner() -> Column:
+    return F.col("uid").eqNullSafe(F.col("owner_uid")) & F.col("month").eqNullSafe(F.col("owner_month"))
+
+
+def _next_in_runs(stops: DataFrame, following: Column, largest: int) -> DataFrame:
+    """``lead`` inside (user, month, run), then across the seams of the users that were cut.
+
+    Only the first and last stop of each run meet in the second window; users
+    of ordinary size are one run and have no seams.
+    """
+    cuts = run_cuts(stops, largest)
+    if fits_broadcast(cuts, F.size("cuts") * 32 + 64):
+        cuts = F.broadcast(cuts)
     in_run = Window.partitionBy(*_OWNER, "run").orderBy(*_ORDER)
     across = Window.partitionBy(*_OWNER).orderBy("run", "place")
     sequenced = (
-        stops.withColumn("run", F.floor(F.col("stop_event") / run_width).cast("bigint"))
+        stops.join(cuts, _is_owner(), "left")
+        .withColumn("run", F.expr("if(cuts is null, -1, size(filter(cuts, c -> c <= stop_event)))"))
         .withColumn("following", F.lead(following).over(in_run))
         .withColumn("place", F.row_number().over(in_run))
+        .drop("owner_uid", "owner_month", "cuts")
     )
-    within = sequenced.filter(F.col("following").isNotNull())
+    within = sequenced.filter("following is not null or run < 0")
     seams = (
-        sequenced.filter(F.col("following").isNull() | (F.col("place") == 1))
+        sequenced.filter("run >= 0 and (following is null or place = 1)")
         .withColumn("over_seam", F.lead(following).over(across))
         .filter(F.col("following").isNull())
         .withColumn("following", F.col("over_seam"))
