@@ -40,6 +40,7 @@ _WINDOW = 24
 _GAP = 31  # symbol of everything that is no letter
 _CELLS = 2_000_000
 _ROWS = 512  # texts whose words are held at a time
+_LIKELY = 256  # words compared with all landmarks at a time
 _EDGES = ".,;:!?\"'()#$%&*"
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _SPELLED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
@@ -143,8 +144,8 @@ class SubsequenceSvm:
         # no kernel value exceeds this sum; a third of the weights' norm bounds the divisor from below
         bound = (weights * self.best[codes]).sum(axis=1)
         likely = np.flatnonzero(bound > LEAST_LIKE * np.sqrt((weights**2).sum(axis=1)))
-        for i in range(0, len(likely), 2048):
-            part = likely[i : i + 2048]
+        for i in range(0, len(likely), _LIKELY):
+            part = likely[i : i + _LIKELY]
             c, w = codes[part], weights[part]
             values = np.zeros((len(part), self.table.shape[1]), np.float32)
             row, col = np.nonzero(self.best[c] * w)
