@@ -304,6 +304,21 @@ def test_pieces_encode_like_whole_texts():
     assert [x.tolist() for x in encoder.encode([*texts, None])] == [*whole, [2]]
 
 
+def test_letters_before_punctuation_encode_like_whole_texts():
+    """Also those that become a letter and a mark, which joins the punctuation."""
+    import unicodedata
+
+    import public_tokenizers
+
+    encoder = tokenfiles._Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(128, 0x110000)) if c.isalpha()]
+    odd = [c for c in letters if len(unicodedata.normalize("NFC", c).lower()) > 1]
+    assert len(odd) >= 60
+    texts = ["GELDİ.", *(f"ab{c}{end} x" for c in odd for end in "!#$%&*,.;:?)"), *(f"{c}.)" for c in odd), *(f"ab{c}." for c in letters)]
+    whole = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.tolist() for x in encoder.encode(texts)] == [w.ids + [2] for w in whole]
+
+
 def test_token_files_of_odd_tables(spark, odd_docs, tmp_path, monkeypatch):
     import public_tokenizers
 

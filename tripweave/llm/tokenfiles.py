@@ -29,6 +29,7 @@ VOCABULARY = "word_bpe_49k.json"
 FILE_TOKENS = 4_000_000
 _BLOCK = 512  # bits between two entries of the rank directory
 _MOST_CACHED = 1_000_000
+_FINAL = "!#$%&*,.;:?)"
 _MARK, _LINE = "\0", 64  # new pieces are encoded in lines of so many, with marks between
 
 
@@ -114,9 +115,10 @@ class _Known(dict):
 class _Encoder:
     """Ids of whole texts; what stands between spaces and line ends is encoded once and kept.
 
-    The tokenizer joins nothing across white space, nor a letter with the
-    ASCII punctuation that ends a part, so the ids of a text are those of its
-    pieces. The memory of pieces is bounded.
+    The tokenizer joins nothing across white space, nor most letters with the
+    ASCII punctuation that ends a part (the tokenizer is asked about each
+    letter beyond ASCII), so the ids of a text are those of its pieces. The
+    memory of pieces is bounded.
     """
 
     _current: dict[str, _Encoder] = {}
@@ -127,6 +129,7 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.known = _Known()
+        self.apart: dict[str, bool] = {}
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -134,8 +137,28 @@ class _Encoder:
             cls._current[path] = cls(path)
         return cls._current[path]
 
+    def _stands_apart(self, letter: str) -> bool:
+        """No punctuation mark after ``letter`` is joined with it or with a mark that it leaves when normalised."""
+        if letter not in self.apart:
+            shape, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+            ends = [f"{letter}{mark}" for mark in _FINAL]
+            whole = [cut.pre_tokenize_str(shape.normalize_str(end) if shape else end) for end in ends]
+            self.apart[letter] = all(len(found) == 2 and found[1][1][1] - found[1][1][0] == 1 for found in whole)
+        return self.apart[letter]
+
+    def _pieces(self, part: str) -> tuple[str, ...]:
+        """A part without its final ASCII punctuation, and that, where a letter that stands apart comes before it."""
+        if "<|" in part:  # may hold control strings, which are matched as they stand
+            return (part,)
+        body = part.rstrip(_FINAL)
+        if part.isascii():
+            part, body = part.lower(), body.lower()
+        if not body or len(body) == len(part) or not body[-1].isalpha():
+            return (part,)
+        return (body, part[len(body) :]) if body[-1].isascii() or self._stands_apart(body[-1]) else (part,)
+
     def _learn(self, missed: set[str]) -> None:
-        split = {part: _pieces(part) for part in missed}
+        split = {part: self._pieces(part) for part in missed}
         new = list({piece for pieces in split.values() for piece in pieces if piece not in self.known})
         odd = [piece for piece in new if _MARK in piece]
         plain = [piece for piece in new if _MARK not in piece] if odd else new
@@ -169,16 +192,6 @@ class _Encoder:
         return [np.frombuffer(b"".join([*values, end]), "<u4") for values in found]
 
 
-def _pieces(part: str) -> tuple[str, ...]:
-    """A part without its final ASCII punctuation, and that, where a letter comes before it."""
-    if "<|" in part:  # may hold control strings, which are matched as they stand
-        return (part,)
-    body = part.rstrip("!#$%&*,.;:?)")
-    if part.isascii():
-        part, body = part.lower(), body.lower()
-    return (body, part[len(body) :]) if body and len(body) < len(part) and body[-1].isalpha() else (part,)
-
-
 def _parts(text: str | None) -> list[str]:
     text = text or ""
     if text.isascii() and "<|" not in text:  # the vocabulary is of lower case; its control strings are not
