@@ -97,6 +97,31 @@ def test_hosts_without_article_elements_keep_varying_text():
     assert pages.main_text(make(9), wrapper) == "text number 9 is here"
 
 
+def test_layout_names_hide_no_article():
+    text = "<h1>Head</h1><p>the text"
+    for around in (
+        '<body class="has-sidebar"><article>{}</article></body>',
+        '<body class="no-sidebar search"><article>{}</article></body>',
+        '<body><article class="post comments-open">{}</article></body>',
+        '<body><div id="search-results"><article>{}</article></div></body>',
+        '<body><div class="header"><main>{}</main></div></body>',
+        '<body><div class="content no-ads">{}</div></body>',
+    ):
+        assert pages.main_text(around.format(text), None) == "Head the text"
+    for head in ('<div class="article-header"><h1>Head</h1></div>', "<header><h1>Head</h1></header>"):
+        assert pages.main_text(f"<body><article>{head}<p>the text</article>", None) == "Head the text"
+    for other in ('<div class="ad">', '<div class="x sidebar">', '<div class="share-links">', '<ul role="navigation">', '<div class="site-header">', '<p class="post-share_links-2">'):
+        assert pages.main_text(f"<body><main><p>the text</p>{other}no</main>", None) == "the text"
+
+
+def test_unclosed_and_self_closed_elements_swallow_no_text():
+    for odd in ('<svg width="1"/>', "<button>no", "<select><option>no", "<noscript>no", "<svg><path d='x'>", "<button>no<button>no</button>"):
+        assert pages.main_text(f"<article><div>{odd}</div><p>the text</p></article>", None) == "the text"
+        assert pages.main_text(f"<article><p>one {odd}</p><p>two</p></article><button>x</button>", None) == "one two"
+    assert pages.main_text("<article><noscript><div>no</div>no</noscript><script>'</p>'</script>yes</article>", None) == "yes"
+    assert pages.main_text("<article>" + "<button>" * 20_000 + "<p>yes", None) == "yes"
+
+
 def test_odd_pages(spark):
     long = "<article>" + "<p>word &lt; x</p>" * 20_000
     rows = [(1, "http://a/1", None), (2, None, ""), (3, "http://a/2", "<article><p>x"), (3, "http://a/2", "<article><p>x"), (4, "nonsense", "a < b <3"), (5, "http://a/5", long), (None, "http://A/6", "<p class=\"x>y")]
