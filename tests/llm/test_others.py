@@ -97,6 +97,22 @@ def test_hosts_without_article_elements_keep_varying_text():
     assert pages.main_text(make(9), wrapper) == "text number 9 is here"
 
 
+def test_slots_are_judged_by_all_distinct_pages_of_a_host(spark):
+    make = lambda text, n=0: f"<body><div class=top>Site name</div><div id=c><p>{text}</p></div><nav>{n}</nav></body>"
+    linked = lambda n: f"<body><ul><li><a href=x>mostly {n} links</a> x</li></ul><p>text {n}</p></body>"
+    rows = [(f"http://copies/{n}", make("one article", n), "Site name one article") for n in range(5)]
+    rows += [("http://many/copy", make("the copy"), "the copy")] * 40
+    rows += [(f"http://many/{n}", make(f"number {n}"), f"number {n}") for n in range(30)]
+    rows += [("http://links/copy", linked(0), "text 0")] * 40
+    rows += [(f"http://links/{n}", f"<body><ul><li>long text of number {n} <a href=x>more</a></li></ul></body>", f"long text of number {n} more") for n in range(5)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract_pages(df).collect()}
+    want = {i: t for i, (_, _, t) in enumerate(rows)}
+    linked_copies = {i for i, (u, _, _) in enumerate(rows) if u == "http://links/copy"}
+    assert {i: t for i, t in got.items() if i not in linked_copies} == {i: t for i, t in want.items() if i not in linked_copies}
+    assert all(got[i].endswith("text 0") for i in linked_copies)
+
+
 def test_layout_names_hide_no_article():
     text = "<h1>Head</h1><p>the text"
     for around in (
