@@ -264,6 +264,31 @@ def test_random_strings_are_dense_and_names_digests_and_words_are_not(spark, mak
     assert not any("dense" in got[i] for i in range(1, 5))
 
 
+def test_random_letters_and_secrets_glued_to_words_are_found():
+    import public_tokenizers
+
+    rng, encoding = np.random.default_rng(8), secretscan.tokenizer(public_tokenizers.path(secretscan.VOCABULARY))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    mixed, all_of_them = lower + lower.upper(), lower + lower.upper() + "0123456789"
+    for letters in (lower, mixed, all_of_them):
+        for before, after in (("", ""), ("production-environment-deployment-", ""), ("com/services/webhooks/incoming/", "/internationalization"), ("id_550E8400-e29b-41d4-a716-446655440000_", "")):
+            hits = 0
+            for _ in range(200):
+                key = "".join(rng.choice(list(letters), 24))
+                text = f"see {before}{key}{after} there"
+                at = text.index(key)
+                spans = secretscan.dense_spans(text, encoding, secretscan.base_spans(text))
+                hits += any(a <= at and at + 24 <= b for a, _, b in spans)
+            assert hits >= 195
+    for text in (
+        "internationalization/configuration_management/documentation",
+        "sha256-" + "0123456789ABCDEF" * 4 + "/release",
+        "request/550E8400-e29b-41d4-a716-446655440000/status",
+        "2024-11-05/2024-12-06/2025-01-07 supercalifragilistic-documentation",
+    ):
+        assert not secretscan.dense_spans(text, encoding, [])
+
+
 # -- token files --------------------------------------------------------------------
 
 

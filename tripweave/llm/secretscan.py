@@ -1,9 +1,9 @@
 """Secrets in texts: known forms, and strings that a tokenizer cannot shorten.
 
 Common words take few tokens of a byte-pair vocabulary, random strings take
-nearly one for each character or two. A string of letters and digits with few
-characters a token is a secret, unless it has the form of a digest, an
-identifier or a plain number.
+nearly one for each character or two. A string of letters, digits or both with few
+characters a token is a secret, unless it has the form of a digest, a UUID or a
+plain number. What is glued to words by separators is tested apart from them.
 """
 
 from __future__ import annotations
@@ -29,7 +29,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:sha\d+[-:=]?)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
-_IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|[A-Za-z+/_=-]+")
+_NUMBER = re.compile(r"[0-9+/_=-]+")
+#: Digests and UUIDs between separators; they are no secrets, and what is beside them is tested without them.
+_KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|" + _DIGEST.pattern + r")(?![A-Za-z0-9])"
+)
+_PART = re.compile(r"[A-Za-z0-9]+")
+#: A run of parts that is not the whole candidate has a part of so many characters.
+LEAST_PART = 8
 
 
 @cache
@@ -56,17 +63,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _is_dense(s: str, encoding) -> bool:
+    return len(s) <= MOST_CHARS_A_TOKEN * len(encoding.encode_ordinary(s))
+
+
+def _dense_runs(s: str, encoding) -> Iterator[tuple[int, int]]:
+    """Dense strings of ``s``: the whole, or else its longest runs of dense parts between separators."""
+    if len(s) < LEAST_CHARS or _NUMBER.fullmatch(s):
+        return
+    if _is_dense(s, encoding):
+        yield 0, len(s)
+        return
+    run: list[tuple[int, int]] = []
+    parts = [m.span() for m in _PART.finditer(s)]
+    for at in [*parts, None]:
+        if at is not None and (_is_dense(s[slice(*at)], encoding) and not s[slice(*at)].isdigit() or (run and s[slice(*at)].isdigit())):
+            run.append(at)
+            continue
+        while run and s[slice(*run[-1])].isdigit():
+            run.pop()
+        if run:
+            joined = s[run[0][0] : run[-1][1]]
+            if len(joined) >= LEAST_CHARS and max(b - a for a, b in run) >= LEAST_PART and _is_dense(joined, encoding):
+                yield run[0][0], run[-1][1]
+            else:
+                yield from ((a, b) for a, b in run if b - a >= LEAST_CHARS)
+        run = []
+
+
 def dense_spans(text: str, encoding, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Strings of few characters a token that meet no known form, digest or identifier."""
+    """Strings of few characters a token that meet no known form, digest, identifier or number.
+
+    Known forms, digests, UUIDs and numbers inside a candidate are cut out, and
+    what is left is tested piece by piece.
+    """
     found = []
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if _IDENTIFIER.fullmatch(s) or _DIGEST.fullmatch(s):
-            continue
-        if any(m.start() < end and start < m.end() for start, _, end in base):
+        s, start, end = m[0], m.start(), m.end()
+        met = [(a - start, b - start) for a, _, b in base if start < b and a < end]
+        if not met and not _KNOWN.search(s) and not _NUMBER.fullmatch(s) and _is_dense(s, encoding):
+            found.append((start, 3, end))
             continue
-        if len(s) <= MOST_CHARS_A_TOKEN * len(encoding.encode_ordinary(s)):
-            found.append((m.start(), 3, m.end()))
+        at = 0
+        for a, b in [*sorted(met + [k.span() for k in _KNOWN.finditer(s)]), (len(s), len(s))]:
+            found += [(start + at + x, 3, start + at + y) for x, y in _dense_runs(s[at : max(at, a)], encoding)]
+            at = max(at, b)
     return found
 
 
