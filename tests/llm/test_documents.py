@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tripweave.llm import decontam, mixing, secretscan, shards, simhash, tokenfiles
+from tripweave.llm import decontam, mixing, nearcopies, secretscan, shards, simhash, tokenfiles
 from tripweave.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -219,6 +219,38 @@ def test_large_rates_keep_their_mean(spark):
     assert abs(n - 400) < 5 * 20
 
 
+def brute_shingles(text):
+    w = (text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_copies_match_brute_force_over_whole_shingles(spark, make_docs, monkeypatch, small):
+    monkeypatch.setattr(nearcopies, "SMALL_BUCKET", small)
+    monkeypatch.setattr(nearcopies, "TILE", 4)
+    monkeypatch.setattr(nearcopies, "COMMON", 3)
+    rng = np.random.default_rng(4)
+    texts = []
+    for family in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 400, 120)]
+        for _ in range(8):
+            words = list(base)
+            for at in rng.integers(0, 120, int(rng.integers(0, 5))):
+                words[at] = f"n{rng.integers(10**6)}"
+            texts.append(" ".join(words + "this text is under the license of its own".split()))
+    texts += ["", "one two", "one two", "one two three"]
+    sets = [brute_shingles(t) for t in texts]
+    roots = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            same = sets[i] == sets[j] or len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) >= 0.8
+            if same and roots[i] != roots[j]:
+                roots = [roots[j] if r == roots[i] else r for r in roots]
+    want = {min(k for k, r in enumerate(roots) if r == root) for root in roots}
+    assert 15 < len(want) < len(texts)
+    assert {r.doc_id for r in simhash.keep_one_of_each_group(make_docs(texts)).collect()} == want
+
+
 # -- secrets ----------------------------------------------------------------------
 
 
