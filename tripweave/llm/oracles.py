@@ -82,5 +82,47 @@ select conv_id, count(*)::bigint as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   sum(length('<|im_start|>') + length(head) + 1 + length(body) + length('<|im_end|>') + 1)::bigint as formatted_chars
 from escaped group by conv_id
+""",
+    "op11_resampling": f"""
+with step0 as (select i as byte, i::bigint as c from range(0, 256) t(i)),
+{", ".join(f"step{k + 1} as (select byte, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from step{k})" for k in range(8))},
+crc as (select list(c order by byte) as t from step8),
+d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+b as (select {_WORDS} as w from benchmark),
+dw as (select r, unnest(w) as x from d),
+bw as (select unnest(w) as x from b),
+known as (select x, hex(encode(x)) as h from (select x from dw union select x from bw)),
+hashed as (
+  select x, xor(4294967295, list_reduce(
+    [4294967295] || [('0x' || h[2 * i - 1:2 * i])::bigint for i in range(1, len(h) // 2 + 1)],
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])
+  )) % 10000 as k
+  from known, crc
+),
+buckets as (select i as k from range(0, 10000) t(i)),
+s as (select k, count(*) as n from dw join hashed using (x) group by k),
+t as (select k, count(*) as n from bw join hashed using (x) group by k),
+gains as (
+  select k, floor(1000 * ln(
+    (coalesce(t.n, 0) + 1)::double * ((select sum(n) from s) + 10000)::double
+    / ((coalesce(s.n, 0) + 1)::double * ((select sum(n) from t) + 10000)::double)
+  ))::bigint as g
+  from buckets left join s using (k) left join t using (k)
+),
+means as (select r, floor(sum(g)::double / count(*)::double)::bigint as weight from dw join hashed using (x) join gains using (k) group by r),
+scored as (
+  select r, doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint + 0.5::double) / 4294967296.0::double
+    )))::bigint as score
+  from d left join means using (r)
+),
+ranked as (
+  select r, row_number() over (order by score desc, doc_id nulls first)::bigint as rank
+  from scored where n_features >= 20
+)
+select doc_id, n_features, weight, score,
+  case when rank <= 10 * (select count(*) from ranked) // 100 then rank end as rank
+from scored left join ranked using (r)
 """,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripweave.llm import chat, decontam, mixing, pages, secretscan, shards, simhash, tokenfiles, topk, toxicity
+from tripweave.llm import chat, decontam, importance, mixing, pages, secretscan, shards, simhash, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op1_shards": shards.op1,
@@ -15,4 +15,5 @@ QUERIES = {
     "op8_secrets": secretscan.op8,
     "op9_chat": chat.op9,
     "op10_token_files": tokenfiles.op10,
+    "op11_resampling": importance.op11,
 }
