@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripweave.llm import chat, decontam, importance, mixing, pages, repair, secretscan, shards, simhash, tokenfiles, topk, toxicity
+from tripweave.llm import chat, decontam, importance, mixing, pages, quality, repair, secretscan, shards, simhash, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op1_shards": shards.op1,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_chat": chat.op9,
     "op10_token_files": tokenfiles.op10,
     "op11_resampling": importance.op11,
+    "op12_quality": quality.op12,
     "op13_structure_repair": repair.op13,
 }
