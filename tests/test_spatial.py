@@ -1,11 +1,12 @@
 import json
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tripweave.functions.geometry import bounds
-from tripweave.operators.spatial import assign_zone, zone_cells, zone_frame
+from tripweave.operators.spatial import CELL_EDGES, assign_zone, zone_cells, zone_frame, zone_index
 from tripweave.sources import read_zones, write_zones
 
 ZONE_SCHEMA = "geomid string, zone_ord bigint, rings array<array<struct<x:double,y:double>>>"
@@ -123,6 +124,52 @@ def test_zones_per_cell_and_cells_per_zone_stay_flat(spark, mixed):
         assert cells.groupBy("geomid").count().agg(F.max("count")).first()[0] <= 25
 
 
+def coast(vertices, seed=1, cx=0.0, cy=0.0):
+    """A jagged closed border around ``cx, cy``."""
+    rng = random.Random(seed)
+    out, rough = [], [rng.uniform(-1, 1) for _ in range(12)]
+    for i in range(vertices):
+        a = 2 * math.pi * i / vertices
+        r = 3 + sum(w / (k + 1) * math.sin((k + 1) * 2 * a + k) for k, w in enumerate(rough)) / 3 + 4 / vertices * (i % 2)
+        out.append((cx + r * math.cos(a), cy + r * math.sin(a)))
+    return out + out[:1]
+
+
+@pytest.mark.parametrize("vertices", [100, 10_000, 100_000])
+def test_edges_of_a_cell_stay_few_for_any_number_of_vertices(spark, vertices):
+    cells = zone_cells(zones(spark, ("a", 0, [coast(vertices)])))
+    row = cells.agg(F.max(F.size("edges")).alias("most"), F.count("*").alias("cells"), F.sum(F.size("edges")).alias("all")).first()
+    assert row["most"] <= CELL_EDGES
+    assert row["cells"] < 25 + 2 * vertices and vertices <= row["all"] < 4 * vertices
+
+
+@pytest.mark.parametrize("options", WAYS)
+def test_jagged_borders_equal_brute_force(spark, options):
+    rng = random.Random(4)
+    fan = [(5.0, 5.0)] + [p for k in range(60) for p in ((6 + k / 60, 5 + k / 50), (6 + k / 60, 5 + k / 50 + 0.005), (5.0, 5.0))]
+    shapes = [
+        ("coast", 2, [coast(700), coast(90, 2)[::-1]]),  # a hole or an overlap, whichever even-odd says
+        ("grid", 1, [[(x / 8, (x * 7 % 5) / 8) for x in range(40)] + [(5.0, -2.0), (0.0, -2.0), (0.0, 0.0)]]),
+        ("fan", 0, [fan]),  # sixty edges at one corner
+    ]
+    points = [(rng.uniform(-5, 8), rng.uniform(-5, 8)) for _ in range(1500)]
+    points += [(rng.randrange(-20, 60) / 8, rng.randrange(-20, 60) / 8) for _ in range(700)]
+    points += [p for _, _, rings in shapes for ring in rings for p in ring[::9]]
+    points += [((x1 + x2) / 2, (y1 + y2) / 2) for (x1, y1), (x2, y2) in zip(shapes[0][2][0], shapes[0][2][0][1:])][::9]
+    first = sorted(shapes, key=lambda s: s[1])
+    want = [next((g for g, _, rings in first if contains(rings, x, y)), None) for x, y in points]
+    assert len(set(want)) == 4
+    assert locate(spark, zones(spark, *shapes), points, **options) == want
+
+
+def test_cells_of_simple_zones_need_no_job_of_their_own(spark):
+    index = zone_index(zones(spark, ("a", 0, [box(0, 0, 1, 1)])))
+    assert index.small and "Scan parquet" not in index.cells._jdf.queryExecution().executedPlan().toString()
+    large = zone_index(zones(spark, ("a", 0, [coast(500)]), ("b", 1, [box(9, 9, 10, 10)])))
+    assert large.small and len(large.levels) > 2
+    assert "parquet" in large.cells._jdf.queryExecution().executedPlan().toString()
+
+
 def test_levels_follow_zone_sizes(spark):
     shapes = [("big", 0, [box(0, 0, 1024, 1024)]), ("flat", 9, [box(0, 5, 1024, 5.0001)]), ("none", 3, [box(1, 1, 1, 1)])]
     shapes += [(f"s{k}", k, [box(k, 0, k + 0.125, 0.125)]) for k in range(1, 8)]

@@ -44,18 +44,31 @@ exists({edges}, e ->
   and (e.x2 - e.x1) * ({y} - e.y1) = (e.y2 - e.y1) * ({x} - e.x1))"""
 
 
-def strictly_inside(edges: str, x: str, y: str) -> str:
-    """Containment that excludes the boundary."""
-    return f"({inside(edges, x, y)} and not {on_edge(edges, x, y)})"
+def strictly_inside(edges: str, others: str, x: str, y: str, middle: str) -> str:
+    """Containment that excludes the boundary, from a box's edges and the bit of all ``others``."""
+    return f"({odd_crossings(edges, x, y, middle)} <> {others} and not {on_edge(edges, x, y)})"
 
 
-def edges_near_box(edges: str) -> str:
-    """Edges that a +x ray from the box ``x0, y0, x1, y1`` can cross or touch."""
+def edges_meeting_box(edges: str, cx: str, cy: str, half: str) -> str:
+    """Edges that meet the box around ``cx, cy`` of half the width ``half``, as far as rounding can tell."""
     return f"""
-filter({edges}, e -> greatest(e.x1, e.x2) >= x0
-  and greatest(e.y1, e.y2) >= y0 and least(e.y1, e.y2) <= y1)"""
-
-
-def box_is_clear(near: str) -> str:
-    """None of the edges near the box has a box of its own that meets it."""
-    return f"(not exists({near}, e -> least(e.x1, e.x2) <= x1))"
+filter({edges}, e -> greatest(e.x1, e.x2) >= {cx} - {half} and least(e.x1, e.x2) <= {cx} + {half}
+  and greatest(e.y1, e.y2) >= {cy} - {half} and least(e.y1, e.y2) <= {cy} + {half}
+  and abs((e.x2 - e.x1) * ({cy} - e.y1) - (e.y2 - e.y1) * ({cx} - e.x1))
+    <= (abs(e.x2 - e.x1) + abs(e.y2 - e.y1)) * {half})"""
+
+
+def odd_crossings(edges: str, x: str, y: str, middle: str) -> str:
+    """Parity of what ``edges`` contribute to the containment of a point.
+
+    An edge contributes its crossing of the ray to the right and, of each of
+    its ends, whether it lies right of ``middle`` and not above the point. Each
+    end counts twice around a ring, so over all edges the parity is that of the
+    crossings. An edge contributes the same to all points of a box that it does
+    not meet, if ``middle`` runs through the box: a box needs its own edges and
+    one bit for all others. This holds for rounded numbers too.
+    """
+    return f"""
+(size(filter({edges}, e ->
+  if((e.y1 > {y}) <> (e.y2 > {y}), {x} < (e.x2 - e.x1) * ({y} - e.y1) / (e.y2 - e.y1) + e.x1, false)
+  <> ((e.x1 > {middle} and e.y1 <= {y}) <> (e.x2 > {middle} and e.y2 <= {y})))) % 2 = 1)"""

@@ -27,7 +27,7 @@ def located_users(anchors: DataFrame, zones: DataFrame) -> DataFrame:
     with the zones that contain them."""
     frame = zone_frame(zones)
     users = dedupe_users(filter_extent(drop_missing_anchor(anchors), frame.extent))
-    return assign_zones(users, zones, [HOME, WORK], frame.levels).select(
+    return assign_zones(users, zones, [HOME, WORK], frame).select(
         "uid", "home_geomid", "work_geomid"
     )
 
