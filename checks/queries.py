@@ -406,7 +406,7 @@ def next_stop(t: Tables) -> DataFrame:
 @query("next_stop_in_runs")
 def next_stop_in_runs(t: Tables) -> DataFrame:
     kept = trips.exclude_location_type(t.stops, "O")
-    return trips.with_next_stop(kept, split=True, largest=4)
+    return trips.with_next_stop(kept, trips.run_marks(kept, 2))
 
 
 @query("real_moves")

@@ -53,7 +53,7 @@ def test_next_stop_matches_plain_window(spark, width):
         F.lead("weekend").over(w).alias("next_weekend"),
     )
     want = sorted(map(str, plain.collect()))
-    for got in (trips.with_next_stop(df, True, width), trips.with_next_stop(df)):
+    for got in (trips.with_next_stop(df, trips.run_marks(df, width)), trips.with_next_stop(df)):
         assert got.columns == plain.columns
         assert sorted(map(str, got.collect())) == want
 
@@ -65,17 +65,32 @@ def test_runs_follow_counts_not_key_values(spark, kind):
         "if(id % 40 = 0, 2, 1) as uid", f"{key} as stop_event", "id as start_timestamp", "id + 1 as end_timestamp",
         "concat('c', id % 5) as cluster_label", "'H' as location_type", "false as weekend", "1 as month",
     )
-    (row,) = trips.run_cuts(df, 400).collect()
-    assert row["owner_uid"] == 1 and 8 <= len(row["cuts"]) <= 40
-    want = sorted(map(str, trips.with_next_stop(df, False).collect()))
-    assert sorted(map(str, trips.with_next_stop(df, True, 400).collect())) == want
+    marks = trips.run_marks(df, 200)
+    assert 8 <= marks.rows.filter("uid = 1").count() <= 40
+    want = sorted(map(str, trips.with_next_stop(df, trips.RunMarks(None)).collect()))
+    got = trips.with_next_stop(df, marks)
+    assert sorted(map(str, got.collect())) == want
+    runs = trips._with_runs(df, marks.rows, F.struct(F.lit("x").alias("next_label")))
+    assert runs.groupBy("uid", "run").count().agg(F.max("count")).first()[0] < 1500
 
 
-def test_large_users_are_measured(spark):
+def test_no_marks_no_runs(spark):
     df = stops(spark, *[stop(1, i, i / 10, "H") for i in range(5)], stop(2, 1, 1, "H"))
-    assert trips.needs_runs(df, largest=4)
-    assert not trips.needs_runs(df, largest=5)
-    assert not trips.needs_runs(df.limit(0))
+    assert trips.run_marks(df).rows is None
+    assert trips.run_marks(df.limit(0), 1).rows is None
+    assert trips.run_marks(df, 1).rows.count() == 6  # every stop a run of its own
+
+
+def test_marks_survive_null_owners_ties_and_exclusion(spark):
+    rows = [stop(u, e, h, k) for u in (None, 1) for e, (h, k) in enumerate(zip(range(3, 15), "HWOHWOOHWHOW"))]
+    rows += [(1, None, None, 5, None, "H", None, 1), (1, 3, *rows[15][2:]), (1, 3, *rows[15][2:])]
+    df = stops(spark, *rows)
+    for kind in (None, "O"):
+        exclude = lambda d: trips.exclude_location_type(d, kind)  # noqa: E731, B023
+        want = sorted(map(str, trips.with_next_stop(exclude(df), trips.RunMarks(None)).collect()))
+        for run in (1, 2, 3):
+            marks = trips.run_marks(df, run).kept(exclude)
+            assert sorted(map(str, trips.with_next_stop(exclude(df), marks).collect())) == want
 
 
 def test_trip_over_month_edge_vanishes(spark):
@@ -160,6 +175,10 @@ def test_month_slice_is_positional(spark):
     assert months((1, 3)) == [5, 9]
     assert months((0, 1)) == [3]
     assert months((1, 99)) == [5, 9]
+    every = [3, 5, 9]
+    for start in (None, 0, 1, 3, 7, -1, -2, -9):
+        for stop_at in (None, 0, 2, 3, 7, -1, -3, -9):
+            assert months((start, stop_at)) == every[start:stop_at]
     assert months(None) == [3, 5, 9]
 
 
@@ -211,5 +230,5 @@ def executed(df):
 
 def test_whole_users_reach_the_daily_ends_in_one_shuffle(spark):
     df = stops(spark, *[stop(u, i, 6 + i, "HW"[i % 2]) for u in range(20) for i in range(8)])
-    plan = executed(dep.departure_trips(df, commute(first_outbound=True, last_return=True), split=False))
+    plan = executed(dep.departure_trips(df, commute(first_outbound=True, last_return=True), trips.RunMarks(None)))
     assert plan.count("Exchange hashpartitioning") == 1  # (user, month) also serves (user, month, day)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.functions import date_of, local_seconds
 from tripweave.operators.sizing import fits_broadcast
+from tripweave.sources.scratch import scratch_path
 
-# Up to this many stops of one user and month are sorted in one task. A larger
-# user's stops are cut into runs of about half as many, so that no user has to fit.
-LARGEST_WHOLE_USER = 2_000_000
+# Users are cut into runs of about this many stops, so that no user has to fit one task.
+RUN = 1_000_000
 
 _OWNER = ("uid", "month")
 _ORDER = ("stop_event", "start_timestamp", "end_timestamp", "cluster_label", "location_type", "weekend")
@@ -32,96 +34,95 @@ def exclude_location_type(stops: DataFrame, location_type: str | None) -> DataFr
     return stops.filter(F.col("location_type") != location_type)
 
 
-def month_slice(stops: DataFrame, positions: tuple[int, int] | None) -> DataFrame:
-    """Keep the months at positions ``[start, stop)`` of the sorted month list."""
+def month_slice(stops: DataFrame, positions: tuple[int | None, int | None] | None) -> DataFrame:
+    """Keep the months at positions ``[start, stop)`` of the sorted month list.
+
+    As in a slice of a list, an end may be open (None) and negative places
+    count from the end of the list.
+    """
     if positions is None:
         return stops
     start, stop = positions
+    place = lambda p, n: p if p >= 0 else f"greatest({n} + {p}, 0)"
+    first = place(start or 0, "size(all_months)")
+    last = "size(all_months)" if stop is None else place(stop, "size(all_months)")
     months = (
         stops.select("month")
         .distinct()
-        .agg(F.array_sort(F.collect_set("month")).alias("months"))
-        .select(F.explode(F.slice("months", start + 1, max(stop - start, 0))).alias("month"))
+        .agg(F.array_sort(F.collect_set("month")).alias("all_months"))
+        .select(F.explode(F.expr(f"slice(all_months, {first} + 1, greatest({last} - {first}, 0))")).alias("month"))
     )
     return stops.join(months, "month", "left_semi")
 
 
-def needs_runs(stops: DataFrame, largest: int = LARGEST_WHOLE_USER) -> bool:
-    """Measure whether some user has more than ``largest`` stops in a month.
+class RunMarks(NamedTuple):
+    """Stops that begin runs, in a table of their own; None if there are none."""
+
+    rows: DataFrame | None
+
+    def kept(self, test: Callable[[DataFrame], DataFrame]) -> RunMarks:
+        """The marks among the stops that a filter keeps."""
+        return RunMarks(None if self.rows is None else test(self.rows))
+
 
-    Reads two columns and brings back one number.
+def run_marks(stops: DataFrame, run: int = RUN) -> RunMarks:
+    """About one stop in ``run``, those whose hash divides by it, whatever their keys are.
+
+    Reads the key columns of all stops once, without a shuffle. Most inputs
+    have none or few, and then users stay whole or nearly so.
     """
-    sizes = stops.groupBy(*_OWNER).agg(F.count("*").alias("stops"))
-    return (sizes.agg(F.max("stops").alias("most")).first()["most"] or 0) > largest
+    chosen = F.pmod(F.xxhash64(*_OWNER, *_ORDER), F.lit(run)) == 0
+    path = scratch_path(stops.sparkSession, "run-marks")
+    stops.select(*_OWNER, *_ORDER).filter(chosen).write.parquet(path)
+    rows = stops.sparkSession.read.parquet(path)
+    return RunMarks(rows if rows.head(1) else None)
 
 
-def with_next_stop(
-    stops: DataFrame, split: bool | None = None, largest: int = LARGEST_WHOLE_USER
-) -> DataFrame:
+def with_next_stop(stops: DataFrame, marks: RunMarks | None = None) -> DataFrame:
     """Add label, start, type and weekend flag of the user's next stop that month.
 
-    ``split`` says whether users of more than ``largest`` stops must be cut into
-    runs; by default it is measured. Both ways give the same rows, for order
-    keys of any type.
+    ``marks`` are ``run_marks`` of these stops, or of more and then ``kept`` by
+    the same filter; by default they are looked for. A marked stop begins a run
+    of its user. Runs are sorted by themselves, and the last stop of one is
+    followed by the mark that begins the next, which every stop of the user
+    carries along. Rows are the same for any marks and order keys of any type.
     """
-    if split is None:
-        split = needs_runs(stops, largest)
+    marks = run_marks(stops) if marks is None else marks
     following = F.struct(*[F.col(c).alias(n) for c, n in _NEXT.items()])
-    if split:
-        sequenced = _next_in_runs(stops, following, largest)
-    else:
+    if marks.rows is None:
         whole = Window.partitionBy(*_OWNER).orderBy(*_ORDER)
         sequenced = stops.withColumn("following", F.lead(following).over(whole))
+    else:
+        in_run = Window.partitionBy(*_OWNER, "run").orderBy(*_ORDER)
+        sequenced = (
+            _with_runs(stops, marks.rows, following)
+            .withColumn("following", F.coalesce(F.lead(following).over(in_run), F.col("next_mark")))
+        )
     return sequenced.select(*stops.columns, "following.*")
 
 
-def run_cuts(stops: DataFrame, largest: int = LARGEST_WHOLE_USER) -> DataFrame:
-    """``owner_uid, owner_month, cuts`` of users with more than ``largest`` stops in a month.
-
-    ``cuts`` are the order keys at which runs begin: those of the user's own
-    keys whose hash divides by half of ``largest``, so runs are about that long
-    whatever the keys are, and cuts are few against the stops.
-    """
-    sizes = stops.groupBy(*_OWNER).agg(F.count("*").alias("stops")).filter(F.col("stops") > largest)
-    owners = sizes.select(F.col("uid").alias("owner_uid"), F.col("month").alias("owner_month"))
-    chosen = F.pmod(F.xxhash64("stop_event"), F.lit(max(1, largest // 2))) == 0
-    keys = stops.filter(chosen).select(*_OWNER, "stop_event")
-    found = owners.join(keys, _is_owner(), "left")
-    cuts = F.array_sort(F.collect_set("stop_event"))
-    return found.groupBy("owner_uid", "owner_month").agg(cuts.alias("cuts"))
-
-
-def _is_owner() -> Column:
-    return F.col("uid").eqNullSafe(F.col("owner_uid")) & F.col("month").eqNullSafe(F.col("owner_month"))
-
-
-def _next_in_runs(stops: DataFrame, following: Column, largest: int) -> DataFrame:
-    """``lead`` inside (user, month, run), then across the seams of the users that were cut.
-
-    Only the first and last stop of each run meet in the second window; users
-    of ordinary size are one run and have no seams.
-    """
-    cuts = run_cuts(stops, largest)
-    if fits_broadcast(cuts, F.size("cuts") * 32 + 64):
-        cuts = F.broadcast(cuts)
-    in_run = Window.partitionBy(*_OWNER, "run").orderBy(*_ORDER)
-    across = Window.partitionBy(*_OWNER).orderBy("run", "place")
-    sequenced = (
-        stops.join(cuts, _is_owner(), "left")
-        .withColumn("run", F.expr("if(cuts is null, -1, size(filter(cuts, c -> c <= stop_event)))"))
-        .withColumn("following", F.lead(following).over(in_run))
-        .withColumn("place", F.row_number().over(in_run))
-        .drop("owner_uid", "owner_month", "cuts")
-    )
-    within = sequenced.filter("following is not null or run < 0")
-    seams = (
-        sequenced.filter("run >= 0 and (following is null or place = 1)")
-        .withColumn("over_seam", F.lead(following).over(across))
-        .filter(F.col("following").isNull())
-        .withColumn("following", F.col("over_seam"))
-        .drop("over_seam")
+def _with_runs(stops: DataFrame, marks: DataFrame, following: Column) -> DataFrame:
+    """``stops`` with the number of their ``run`` and the ``next_mark`` after it."""
+    mark = F.struct(F.struct(*_ORDER).alias("at"), following.alias("following"))
+    owners = marks.groupBy(*[F.col(c).alias(f"owner_{c}") for c in _OWNER]).agg(F.sort_array(F.collect_set(mark)).alias("marks"))
+    size = F.coalesce(F.octet_length("cluster_label"), F.lit(0)) + F.coalesce(F.octet_length("location_type"), F.lit(0))
+    if fits_broadcast(marks, size + 256):
+        owners = F.broadcast(owners)
+    is_owner = reduce(and_, [F.col(c).eqNullSafe(F.col(f"owner_{c}")) for c in _OWNER])
+    # halves the marks until what is left begins after the stop
+    before = f"""if(marks is null, 0, aggregate(
+      sequence(1, 1 + cast(log2(size(marks)) as int)), named_struct('low', 0, 'high', size(marks)),
+      (a, _) -> if(a.low < a.high,
+        if(marks[(a.low + a.high) div 2].at <= struct({", ".join(_ORDER)}),
+          named_struct('low', cast((a.low + a.high) div 2 + 1 as int), 'high', a.high),
+          named_struct('low', a.low, 'high', cast((a.low + a.high) div 2 as int))), a),
+      a -> a.low))"""
+    return (
+        stops.join(owners, is_owner, "left")
+        .withColumn("run", F.expr(before))
+        .withColumn("next_mark", F.expr("get(marks, run).following"))
+        .drop("marks", *[f"owner_{c}" for c in _OWNER])
     )
-    return within.unionByName(seams)
 
 
 # -- predicates on a stop and its successor -----------------------------------

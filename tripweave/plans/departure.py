@@ -18,11 +18,12 @@ from tripweave.operators.sampling import (
     with_uniform_departure,
 )
 from tripweave.operators.trips import (
+    RunMarks,
     exclude_location_type,
     first_last_of_day,
     month_slice,
-    needs_runs,
     origin_date,
+    run_marks,
     trip_condition,
     with_next_stop,
 )
@@ -46,19 +47,20 @@ def with_departure(moves: DataFrame, p: Preset, out: str = "departure") -> DataF
     return with_uniform_departure(moves, s.salt, out)
 
 
-def moves(stops: DataFrame, p: Preset, split: bool | None = None) -> DataFrame:
+def moves(stops: DataFrame, p: Preset, marks: RunMarks | None = None) -> DataFrame:
     """Stops with their successor, after the exclusions that precede sequencing.
 
-    ``split`` as in ``with_next_stop``; exclusions only make users smaller, so
-    the answer for all stops holds for what is left of them.
+    ``marks`` are the ``run_marks`` of all stops; marks of months that are not
+    kept have no stops.
     """
-    kept = exclude_location_type(stops, p.trips.exclude_type)
-    return with_next_stop(month_slice(kept, p.month_positions), split)
+    exclude = lambda df: exclude_location_type(df, p.trips.exclude_type)
+    kept = month_slice(exclude(stops), p.month_positions)
+    return with_next_stop(kept, None if marks is None else marks.kept(exclude))
 
 
-def departure_trips(stops: DataFrame, p: Preset, split: bool | None = None) -> DataFrame:
+def departure_trips(stops: DataFrame, p: Preset, marks: RunMarks | None = None) -> DataFrame:
     """``uid, month, rand_start_ts, trip_start_hour`` (and the key and epoch)."""
-    return _finish(with_departure(moves(stops, p, split).filter(condition_of(p)), p), p)
+    return _finish(with_departure(moves(stops, p, marks).filter(condition_of(p)), p), p)
 
 
 def _finish(trips: DataFrame, p: Preset, by: tuple[str, ...] = ()) -> DataFrame:
@@ -100,10 +102,10 @@ def preset_trips(stops: DataFrame, presets: list[Preset]) -> DataFrame:
     shared = defaultdict(list)
     for p in presets:
         shared[p.trips.exclude_type, p.month_positions].append(p)
-    split = needs_runs(stops)
+    marks = run_marks(stops)
     parts = []
     for group in shared.values():
-        sequenced = moves(stops, group[0], split)
+        sequenced = moves(stops, group[0], marks)
         endings = defaultdict(list)
         for p in group:
             t = p.trips

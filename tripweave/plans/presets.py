@@ -40,7 +40,7 @@ class Preset:
     trips: TripFilter
     sampling: Sampling
     survey: str
-    month_positions: tuple[int, int] | None = None
+    month_positions: tuple[int | None, int | None] | None = None
     zone: str = "UTC"
 
     def informed_by(self, distribution: HourlyDistribution) -> Preset:
