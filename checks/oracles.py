@@ -411,7 +411,12 @@ ORACLES: dict[str, str] = {
         "round(cy - radius, 6) as miny, round(cx + radius, 6) as maxx, round(cy + radius, 6) as maxy from fine_zones"
     ),
     "trips_table_roundtrip": sql(_TRIPS_BY_HOUR),
-    "trips_reuse": sql(_TRIPS_BY_HOUR),
+    "trips_reuse": sql(
+        "select request, built, month, trip_start_hour, count(*) as trips from ("
+        "select 0 as request, true as built, month, trip_start_hour from trips_hw_raw "
+        "union all select 1, false, month, trip_start_hour from trips_hw_raw "
+        "union all select 2, true, month, trip_start_hour from trips_hw_random_uniform) group by 1, 2, 3, 4"
+    ),
     "anchors_filtered": sql(
         "select * from anchors where home_latitude is not null and work_latitude is not null"
     ),

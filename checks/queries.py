@@ -7,6 +7,7 @@ can be compared value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from tripweave.plans import surveys as survey_plan
 from tripweave.plans.presets import INFORMED, MODULAR, PRESETS, RAW, Preset, Sampling, TripFilter, preset
 from tripweave.sources import (
     HourlyDistribution,
+    manifest,
+    origin,
     read_anchors,
     read_hourly_distribution,
     read_stops,
@@ -100,12 +103,16 @@ def trips_table_roundtrip(t: Tables) -> DataFrame:
 
 @query("trips_reuse")
 def trips_reuse(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "trips")
-    raw = lambda: dep.departure_trips(t.stops, preset("HW_raw"))
-    reuse_or_build(t.spark, path, raw)
-    reuse_or_build(t.spark, path, raw, recompute=True)
-    other = lambda: dep.departure_trips(t.stops, preset("HW_random_uniform"))
-    return _count_by_hour(reuse_or_build(t.spark, path, other))
+    """One path asked for raw trips, again, and for uniform ones: only the second is not built."""
+    path, asked = scratch_path(t.spark, "trips"), ("HW_raw", "HW_raw", "HW_random_uniform")
+    parts, before = [], None
+    for request, name in enumerate(asked):
+        build = lambda: dep.departure_trips(t.stops, preset(name))  # noqa: E731, B023
+        table = reuse_or_build(t.spark, path, build, made_from=origin(preset(name), t.stops))
+        now = manifest(t.spark, path)["version"]
+        parts.append(_count_by_hour(table).select(F.lit(request).alias("request"), F.lit(now != before).alias("built"), "*"))
+        before = now
+    return reduce(DataFrame.unionByName, parts)
 
 
 # -- anchors, zones, OD pairs -------------------------------------------------
@@ -162,8 +169,8 @@ def od_pairs(t: Tables) -> DataFrame:
 
 
 def _od(t: Tables) -> DataFrame:
-    """The pairs as the analyses get them: from their file."""
-    return od_plan.saved_od_pairs(t.spark, t.anchors, t.zones, scratch_path(t.spark, "od"))
+    """The pairs as the analyses get them: from the store."""
+    return od_plan.stored_od_pairs(t.anchors, t.zones)
 
 
 def _factors(t: Tables) -> DataFrame:
@@ -472,8 +479,7 @@ def _named(t: Tables, names) -> list[Preset]:
     informed = {p.survey for p in presets if p.sampling.strategy == INFORMED}
     if not informed:
         return presets
-    shares = survey_plan.all_hour_shares(t.survey, series=tuple(sorted(informed)))
-    hours = HourlyDistribution.by_series(shares)
+    hours = HourlyDistribution.by_series(survey_plan.stored_hour_shares(t.survey))
     return [p.informed_by(hours[p.survey]) if p.survey in hours else p for p in presets]
 
 
@@ -537,7 +543,7 @@ for _name in PRESETS:
 
 
 def _all_profiles(t: Tables) -> DataFrame:
-    return dep.preset_profiles(t.stops, _named(t, MODULAR))
+    return dep.stored_profiles(t.stops, _named(t, MODULAR))
 
 
 @query("compare_profiles")
@@ -569,7 +575,7 @@ def interp_hours(t: Tables) -> DataFrame:
 
 @query("series_overlay")
 def series_overlay(t: Tables) -> DataFrame:
-    overlay = compare.series_overlay(_all_profiles(t), survey_plan.all_hour_shares(t.survey))
+    overlay = compare.series_overlay(_all_profiles(t), survey_plan.stored_hour_shares(t.survey))
     return rounded(overlay, "percentage")
 
 
@@ -578,7 +584,7 @@ def dtw_pairs(t: Tables) -> DataFrame:
     pairing = t.spark.createDataFrame(
         [(n, PRESETS[n].survey) for n in MODULAR], "series string, survey string"
     )
-    shares = survey_plan.all_hour_shares(t.survey)
+    shares = survey_plan.stored_hour_shares(t.survey)
     return rounded(compare.dtw_pairs(_all_profiles(t), shares, pairing), "dtw", "dtw_normalised")
 
 

@@ -28,6 +28,7 @@ from tripweave.operators.trips import (
     with_next_stop,
 )
 from tripweave.plans.presets import INFORMED, RAW, Preset
+from tripweave.sources.store import origin, stored
 from tripweave.sources.tables import reuse_or_build
 
 
@@ -88,11 +89,18 @@ def departure_profile(stops: DataFrame, p: Preset) -> DataFrame:
 def saved_departure_profile(
     spark: SparkSession, stops: DataFrame, p: Preset, path: str, recompute: bool = False
 ) -> DataFrame:
-    """Profile from the trip table at ``path``, which is built when missing."""
-    trips = reuse_or_build(spark, path, lambda: departure_trips(stops, p), recompute)
+    """Profile from the trip table at ``path``, which is built when missing or made by another preset or input."""
+    made_from = origin(p, stops)
+    trips = reuse_or_build(spark, path, lambda: departure_trips(stops, p), recompute, made_from)
     return hourly_profile(trips)
 
 
+def stored_profiles(stops: DataFrame, presets: list[Preset]) -> DataFrame:
+    """``preset_profiles``, made once for the same presets and stops."""
+    build = lambda: preset_profiles(stops, presets)
+    return stored(stops.sparkSession, "profiles", presets, [stops], build)
+
+
 def preset_trips(stops: DataFrame, presets: list[Preset]) -> DataFrame:
     """Trips of several presets, with a ``series`` column.
 

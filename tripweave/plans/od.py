@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from tripweave.operators.compare import join_od_sources, log_correlation
 from tripweave.operators.od import (
@@ -16,7 +16,7 @@ from tripweave.operators.od import (
 )
 from tripweave.operators.spatial import assign_zones, zone_frame
 from tripweave.operators.zones import attach_population, survey_zone_population
-from tripweave.sources.tables import OD_PAIRS_SCHEMA, read_survey_csv, write_csv
+from tripweave.sources.store import stored
 
 HOME = ("home_longitude", "home_latitude", "home_geomid")
 WORK = ("work_longitude", "work_latitude", "work_geomid")
@@ -37,16 +37,14 @@ def od_pairs(anchors: DataFrame, zones: DataFrame) -> DataFrame:
     return attach_zone_population(count_od_users(located_users(anchors, zones)), zones)
 
 
-def saved_od_pairs(
-    spark: SparkSession, anchors: DataFrame, zones: DataFrame, path: str
-) -> DataFrame:
-    """``od_pairs`` written as CSV to ``path`` and read back.
+def stored_od_pairs(anchors: DataFrame, zones: DataFrame) -> DataFrame:
+    """``od_pairs``, made once for the same anchors and zones.
 
-    Analyses use the pairs several times; from the file each use is a small
-    scan, and the anchors are located once.
+    Analyses use the pairs several times; each use is a small scan, and the
+    anchors are located once.
     """
-    write_csv(od_pairs(anchors, zones), path)
-    return read_survey_csv(spark, path, OD_PAIRS_SCHEMA)
+    build = lambda: od_pairs(anchors, zones)
+    return stored(anchors.sparkSession, "od-pairs", None, [anchors, zones], build)
 
 
 def zones_with_population(zones: DataFrame, households: DataFrame) -> DataFrame:

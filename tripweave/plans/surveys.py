@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.operators import survey as ops
+from tripweave.sources.store import stored
 
 SERIES = ("hw", "ho", "nhb", "all")
 
@@ -36,6 +37,12 @@ def all_hour_shares(
     return reduce(DataFrame.unionByName, parts)
 
 
+def stored_hour_shares(survey: DataFrame, weekday: bool = True) -> DataFrame:
+    """``all_hour_shares`` of all series, made once for the same survey."""
+    build = lambda: all_hour_shares(survey, weekday)
+    return stored(survey.sparkSession, "hour-shares", weekday, [survey], build)
+
+
 def hour_shares(survey: DataFrame, series: str, weekday: bool = True) -> DataFrame:
     """``hour, percentage`` of one series."""
     return all_hour_shares(survey, weekday, (series,)).drop("series")

@@ -1,5 +1,6 @@
 from tripweave.sources.distributions import HourlyDistribution, read_hourly_distribution
 from tripweave.sources.scratch import scratch_path
+from tripweave.sources.store import manifest, origin, stored
 from tripweave.sources.tables import (
     read_anchors,
     read_stops,
@@ -14,6 +15,8 @@ from tripweave.sources.zonefiles import read_zones, write_zones
 
 __all__ = [
     "HourlyDistribution",
+    "manifest",
+    "origin",
     "read_anchors",
     "read_hourly_distribution",
     "read_stops",
@@ -22,6 +25,7 @@ __all__ = [
     "read_zones",
     "reuse_or_build",
     "scratch_path",
+    "stored",
     "table_ready",
     "write_csv",
     "write_trips",

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripweave.sources.store import current, manifest, replace
+
 ANCHOR_COORDINATES = ("home_latitude", "home_longitude", "work_latitude", "work_longitude")
 
 STOP_COLUMNS = (
@@ -32,6 +34,8 @@ SURVEY_TRIP_SCHEMA = (
     "p5_6 int, p5_11a int, p5_9_1 int, factor double"
 )
 
+TRIP_COLUMNS = ("uid", "rand_start_ts", "trip_start_hour", "month")
+
 RECORDS_PER_FILE = 5_000_000
 
 
@@ -69,7 +73,7 @@ def write_trips(trips: DataFrame, path: str, records_per_file: int = RECORDS_PER
     month that holds most rows is split over many tasks.
     """
     (
-        trips.select("uid", "rand_start_ts", "trip_start_hour", "month")
+        trips.select(*TRIP_COLUMNS)
         .hint("rebalance", "month")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
@@ -96,8 +100,14 @@ def reuse_or_build(
     path: str,
     build: Callable[[], DataFrame],
     recompute: bool = False,
+    made_from: str | None = None,
 ) -> DataFrame:
-    """The trip table at ``path``, written first when missing or on request."""
-    if recompute or not table_ready(spark, path):
-        write_trips(build(), path)
-    return read_trips(spark, path)
+    """The trip table at ``path``, written first when missing, on request, or made from something else.
+
+    ``made_from`` is the ``origin`` of what ``build`` gives; without it any
+    finished table is reused. A rebuild shows only when it is whole.
+    """
+    known = manifest(spark, path)
+    if recompute or known is None or made_from not in (None, known["origin"]):
+        replace(spark, path, build().select(*TRIP_COLUMNS), made_from or "", write_trips)
+    return current(spark, path)
