@@ -7,7 +7,7 @@ from functools import reduce
 from operator import and_, or_
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tripweave.functions import date_of, local_seconds
@@ -72,10 +72,10 @@ def run_marks(stops: DataFrame, run: int = RUN) -> RunMarks:
     have none or few, and then users stay whole or nearly so.
     """
     chosen = F.pmod(F.xxhash64(*_OWNER, *_ORDER), F.lit(run)) == 0
-    path = scratch_path(stops.sparkSession, "run-marks")
-    stops.select(*_OWNER, *_ORDER).filter(chosen).write.parquet(path)
-    rows = stops.sparkSession.read.parquet(path)
-    return RunMarks(rows if rows.head(1) else None)
+    path, seen = scratch_path(stops.sparkSession, "run-marks"), Observation()
+    marked = stops.select(*_OWNER, *_ORDER).filter(chosen)
+    marked.observe(seen, F.count("*").alias("marks")).write.parquet(path)
+    return RunMarks(stops.sparkSession.read.schema(marked.schema).parquet(path) if seen.get["marks"] else None)
 
 
 def with_next_stop(stops: DataFrame, marks: RunMarks | None = None) -> DataFrame:

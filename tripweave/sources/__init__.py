@@ -11,7 +11,7 @@ from tripweave.sources.tables import (
     write_csv,
     write_trips,
 )
-from tripweave.sources.zonefiles import read_zones, write_zones
+from tripweave.sources.zonefiles import read_zones, write_collection, write_zones
 
 __all__ = [
     "HourlyDistribution",
@@ -27,6 +27,7 @@ __all__ = [
     "scratch_path",
     "stored",
     "table_ready",
+    "write_collection",
     "write_csv",
     "write_trips",
     "write_zones",
