@@ -150,6 +150,11 @@ CTES["survey_hours"] = " union all ".join(
     f"select '{k}' as series, hour, percentage from {k}_hours" for k in ("hw", "ho", "nhb", "all")
 )
 
+# The same on any day of the week.
+CTES["job_any"] = CTES["job"].replace(" and p5_3 = 1", "")
+for _kind in ("hw_pairs", "ho_pairs", "hw_hours", "ho_hours", "nhb_hours", "all_hours"):
+    CTES[f"{_kind}_any"] = re.sub(r"\b(job|hw_pairs|ho_pairs)\b", r"\1_any", CTES[_kind])
+
 
 def _tour_legs(kind: str) -> str:
     parts = []
@@ -410,6 +415,21 @@ ORACLES: dict[str, str] = {
         "select geomid, population, zone_ord, cast(5 as int) as vertices, round(cx - radius, 6) as minx, "
         "round(cy - radius, 6) as miny, round(cx + radius, 6) as maxx, round(cy + radius, 6) as maxy from fine_zones"
     ),
+    "zones_from_collection": sql(
+        "select geomid, population, zone_ord, case zone_ord % 3 when 0 then 1 else 2 end::int as rings, "
+        "case zone_ord % 3 when 2 then 2 else 1 end::int as polygons, round(cx - radius, 6) as minx, "
+        "round(cy - radius, 6) as miny, round(cx + radius + case zone_ord % 3 when 2 then 1 else 0 end, 6) as maxx, "
+        "round(cy + radius, 6) as maxy from fine_zones"
+    ),
+    "zones_valid": sql("select geomid, zone_ord % 4 = 3 as valid from fine_zones"),
+    "assign_valid_zone": sql(
+        "select any_value(a.uid) as uid, any_value(a.home_longitude) as home_longitude, "
+        "any_value(a.home_latitude) as home_latitude, any_value(a.work_longitude) as work_longitude, "
+        "any_value(a.work_latitude) as work_latitude, arg_min(z.geomid, z.zone_ord) as home_geomid "
+        "from (select *, row_number() over () as rn from anchors) a left join fine_zones z on z.zone_ord % 4 = 3 "
+        "and abs(a.home_longitude - z.cx) + abs(a.home_latitude - z.cy) < z.radius "
+        "and abs(a.home_longitude - z.cx) + abs(a.home_latitude - z.cy) > z.radius / 2 group by a.rn"
+    ),
     "trips_table_roundtrip": sql(_TRIPS_BY_HOUR),
     "trips_reuse": sql(
         "select request, built, month, trip_start_hour, count(*) as trips from ("
@@ -494,6 +514,16 @@ ORACLES: dict[str, str] = {
     "survey_workers": sql(
         "select work_geomid, sum(counts)::bigint as workers from flows group by 1 having sum(counts) > 0"
     ),
+    "survey_hours_any_day": sql(
+        " union all ".join(
+            f"select '{k}' as series, hour, round(percentage, 6) as percentage from {k}_hours_any" for k in ("hw", "ho", "nhb", "all")
+        )
+    ),
+    "survey_od_by_purpose": sql(
+        "select dto_origen as home_geomid, dto_dest as work_geomid, sum(cast(trunc(factor) as bigint))::bigint as counts "
+        "from survey_trips where p5_13 = 2 and dto_origen in (select geomid from known) and dto_dest in (select geomid from known) "
+        "group by 1, 2 having sum(cast(trunc(factor) as bigint)) > 0"
+    ),
     "survey_workers_by_purpose": sql(
         "select dto_dest as work_geomid, sum(cast(trunc(factor) as bigint))::bigint as workers from survey_trips "
         "where p5_13 = 2 and dto_origen in (select geomid from known) and dto_dest in (select geomid from known) "
@@ -523,6 +553,12 @@ ORACLES: dict[str, str] = {
         "select s.* from stops s join (select month, dense_rank() over (order by month) as place "
         "from (select distinct month from stops)) m on m.month = s.month where m.place in (2, 3)"
     ),
+    "month_slice_open": sql(
+        "with m as (select month, row_number() over (order by month) as place, count(*) over () as n "
+        "from (select distinct month from stops)) "
+        "select s.*, 'later' as part from stops s join m using (month) where place > 1 "
+        "union all select s.*, 'last_but_one' from stops s join m using (month) where place = n - 1"
+    ).replace(")\nwith m as", "),\nm as"),
     "next_stop": sql("select * from next_o"),
     "next_stop_in_runs": sql("select * from next_o"),
     "real_moves": _moves(_REAL),
@@ -543,6 +579,18 @@ ORACLES: dict[str, str] = {
         "select uid, stop_event, month, case when location_type = 'H' then 'H_to_W' else 'W_to_H' end as direction, "
         "cast(floor(departure) as bigint) as departure, trip_start_hour from trips_hw_raw"
     ),
+    "first_last_per_direction": sql(
+        "select uid, stop_event, month, direction, cast(floor(end_timestamp / 3600e0) % 24 as int) as trip_start_hour from ("
+        "select *, row_number() over (partition by month, uid, day, direction order by end_timestamp, stop_event) as first, "
+        "row_number() over (partition by month, uid, day, direction order by end_timestamp desc, stop_event desc) as last from ("
+        "select *, case when location_type = 'H' then 'H_to_W' else 'W_to_H' end as direction, floor(end_timestamp / 86400e0) as day "
+        f"from next_o where {_REAL} and {_WEEKDAY} and {_SAME_DAY} and {_both_ways('H', 'W')})) "
+        "where (direction = 'H_to_W' and first = 1) or (direction = 'W_to_H' and last = 1)"
+    ),
+    "one_flag_keeps_all": sql(
+        "select uid, stop_event, month, cast(floor(end_timestamp / 3600e0) % 24 as int) as trip_start_hour "
+        f"from next_o where {_REAL} and {_WEEKDAY} and {_SAME_DAY} and {_both_ways('H', 'W')}"
+    ),
     "hourly_profile_raw": _RAW_PROFILE,
     "sorted_profile": _RAW_PROFILE + " order by 1",
     "hourly_profile_uniform": _profile_query("trips_hw_random_uniform"),

@@ -7,6 +7,7 @@ can be compared value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from checks.views import HOME_WORK_HOURS, Tables
 from tripweave import functions as fn
 from tripweave.operators import compare, od, profile, survey, trips, zones
-from tripweave.operators.spatial import assign_zone
+from tripweave.operators.spatial import assign_zone, valid_zones, zone_validity
 from tripweave.plans import departure as dep
 from tripweave.plans import od as od_plan
 from tripweave.plans import surveys as survey_plan
@@ -32,6 +33,7 @@ from tripweave.sources import (
     read_zones,
     reuse_or_build,
     scratch_path,
+    write_collection,
     write_csv,
     write_trips,
     write_zones,
@@ -90,6 +92,32 @@ def zones_from_geojson(t: Tables) -> DataFrame:
     )
 
 
+@query("zones_from_collection")
+def zones_from_collection(t: Tables) -> DataFrame:
+    """Fine zones with holes and second parts, out to one collection under other names and in again."""
+    path = scratch_path(t.spark, "collection")
+    named = t.shaped_zones.withColumnsRenamed({"geomid": "CVE", "population": "POB"})
+    write_collection(named, path)
+    loaded = read_zones(t.spark, path, {"CVE": "geomid", "POB": "population"})
+    return rounded(
+        loaded.select(
+            "geomid", "population", "zone_ord", F.size("rings").alias("rings"),
+            (F.array_max("parts") + 1).alias("polygons"), "minx", "miny", "maxx", "maxy",
+        ),
+        "minx", "miny", "maxx", "maxy",
+    )
+
+
+@query("zones_valid")
+def zones_valid(t: Tables) -> DataFrame:
+    return zone_validity(t.flawed_zones)
+
+
+@query("assign_valid_zone")
+def assign_valid_zone(t: Tables) -> DataFrame:
+    return assign_zone(t.anchors, valid_zones(t.flawed_zones), *od_plan.HOME)
+
+
 def _count_by_hour(df: DataFrame) -> DataFrame:
     return df.groupBy("month", "trip_start_hour").agg(F.count("*").alias("trips"))
 
@@ -366,6 +394,18 @@ for _series in survey_plan.SERIES:
     _register_survey_hours(_series)
 
 
+@query("survey_hours_any_day")
+def survey_hours_any_day(t: Tables) -> DataFrame:
+    """All hour shares of the second city: no test of the weekday."""
+    return rounded(survey_plan.all_hour_shares(t.survey, weekday=False), "percentage")
+
+
+@query("survey_od_by_purpose")
+def survey_od_by_purpose(t: Tables) -> DataFrame:
+    """The second city's OD table: trips to work on any day."""
+    return survey.survey_od(survey_plan.survey_flows(t.survey, t.known_households, weekday=False, purpose=2))
+
+
 @query("replicate_rows")
 def replicate_rows(t: Tables) -> DataFrame:
     rows = survey.replicate_by_weight(survey.valid_trips(t.survey))
@@ -405,6 +445,13 @@ def month_slice(t: Tables) -> DataFrame:
     return trips.month_slice(t.stops, (1, 3))
 
 
+@query("month_slice_open")
+def month_slice_open(t: Tables) -> DataFrame:
+    """All months but the first, and the last but one, by open and negative places."""
+    later = trips.month_slice(t.stops, (1, None)).withColumn("part", F.lit("later"))
+    return later.unionByName(trips.month_slice(t.stops, (-2, -1)).withColumn("part", F.lit("last_but_one")))
+
+
 @query("next_stop")
 def next_stop(t: Tables) -> DataFrame:
     return _following(t)
@@ -466,6 +513,24 @@ def first_last_raw(t: Tables) -> DataFrame:
     )
 
 
+@query("first_last_per_direction")
+def first_last_per_direction(t: Tables) -> DataFrame:
+    """The day's first trip out and last trip back, ranked apart."""
+    commute = replace(preset("HW_raw").trips, per_direction=True)
+    p = Preset("HW_raw_by_direction", commute, Sampling(RAW), "hw")
+    return dep.departure_trips(t.stops, p).select(
+        "uid", "stop_event", "month", trips.direction().alias("direction"), "trip_start_hour"
+    )
+
+
+@query("one_flag_keeps_all")
+def one_flag_keeps_all(t: Tables) -> DataFrame:
+    """With one of the two flags alone no trip of the day is dropped."""
+    commute = replace(preset("HW_raw").trips, last_return=False)
+    p = Preset("HW_raw_first_only", commute, Sampling(RAW), "hw")
+    return dep.departure_trips(t.stops, p).select("uid", "stop_event", "month", "trip_start_hour")
+
+
 # -- profiles -----------------------------------------------------------------
 
 

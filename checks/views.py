@@ -105,6 +105,30 @@ array(array(
   named_struct('x', cx - radius, 'y', cy)))"""
 
 
+# The diamond around another centre or of another size, as one ring.
+def _diamond(cx: str, radius: str) -> str:
+    return _DIAMOND.strip().removeprefix("array(").removesuffix(")").replace("radius", radius).replace("'x', cx", f"'x', {cx}")
+
+
+# Of three zones the second has a hole, the third a part to the right.
+_SHAPES = f"""
+case zone_ord % 3
+  when 0 then array({_diamond("cx", "radius")})
+  when 1 then array({_diamond("cx", "radius")}, {_diamond("cx", "(radius / 2)")})
+  else array({_diamond("cx", "radius")}, {_diamond("cx + 1", "radius")}) end"""
+
+# Of four zones one is a bow-tie, one is open and one has a ring across its border.
+_FLAWED = f"""
+case zone_ord % 4
+  when 0 then array(array(
+    named_struct('x', cx - radius, 'y', cy), named_struct('x', cx, 'y', cy - radius),
+    named_struct('x', cx, 'y', cy + radius), named_struct('x', cx + radius, 'y', cy),
+    named_struct('x', cx - radius, 'y', cy)))
+  when 1 then array(slice({_diamond("cx", "radius")}, 1, 4))
+  when 2 then array({_diamond("cx", "radius")}, {_diamond("cx + radius", "radius")})
+  else array({_diamond("cx", "radius")}, {_diamond("cx", "(radius / 2)")}) end"""
+
+
 @dataclass(frozen=True)
 class Tables:
     """The derived tables of one scale, as Spark DataFrames."""
@@ -141,6 +165,21 @@ class Tables:
             "geomid", "population", "zone_ord", F.expr(_DIAMOND).alias("rings")
         ).withColumns(bounds())
 
+    @property
+    def shaped_zones(self) -> DataFrame:
+        """``fine_zones``, some with holes or of two polygons."""
+        return self._derive("fine_zones").select(
+            "geomid", "population", "zone_ord", F.expr(_SHAPES).alias("rings"),
+            F.expr("case zone_ord % 3 when 0 then array(0) when 1 then array(0, 0) else array(0, 1) end").alias("parts"),
+        ).withColumns(bounds())
+
+    @property
+    def flawed_zones(self) -> DataFrame:
+        """``fine_zones``, three of four with invalid shapes."""
+        return self._derive("fine_zones").select(
+            "geomid", "population", "zone_ord", F.expr(_FLAWED).alias("rings")
+        ).withColumns(bounds())
+
     @property
     def anchors(self) -> DataFrame:
         return self._derive("anchors")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave.functions.geometry import bounds
-from tripweave.operators.spatial import CELL_EDGES, assign_zone, zone_cells, zone_frame, zone_index
+from tripweave.operators.spatial import CELL_EDGES, assign_zone, valid_zones, zone_cells, zone_frame, zone_index, zone_validity
 from tripweave.sources import read_zones, write_zones
 
 ZONE_SCHEMA = "geomid string, zone_ord bigint, rings array<array<struct<x:double,y:double>>>"
@@ -262,3 +262,42 @@ def test_columns_keep_their_order(spark, options):
     df = spark.createDataFrame([(1, 1.0, 1.0)], "id int, lon double, lat double")
     found = assign_zone(df, zones(spark, ("a", 0, [box(0, 0, 2, 2)])), "lon", "lat", **options)
     assert found.columns == ["id", "lon", "lat", "geomid"]
+
+
+SHAPES = {
+    "square": (True, [box(0, 0, 1, 1)]),
+    "bow-tie": (False, [[(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)]]),
+    "open": (False, [box(0, 0, 1, 1)[:-1]]),
+    "flat": (False, [[(0, 0), (1, 1), (2, 2), (0, 0)]]),
+    "two points": (False, [[(0, 0), (1, 1), (0, 0)]]),
+    "hole": (True, [box(0, 0, 9, 9), box(1, 1, 2, 2)]),
+    "hole across": (False, [box(0, 0, 9, 9), box(8, 8, 10, 10)]),
+    "parts touch in a point": (True, [box(0, 0, 1, 1), box(1, 1, 2, 2)]),
+    "parts share a side": (False, [box(0, 0, 1, 1), box(1, 0, 2, 1)]),
+    "ring touches itself": (False, [[(0, 0), (2, 0), (2, 2), (1, 0), (0, 2), (0, 0)]]),
+    "ring meets a vertex twice": (False, [[(0, 0), (1, 1), (0, 2), (2, 2), (1, 1), (2, 0), (0, 0)]]),
+    "spike": (False, [[(0, 0), (2, 0), (2, 2), (2, 3), (2, 2), (0, 2), (0, 0)]]),
+    "vertex twice in a row": (True, [[(0, 0), (1, 0), (1, 0), (1, 1), (0, 1), (0, 1), (0, 0)]]),
+    "infinite": (False, [[(0, 0), (float("inf"), 0), (1, 1), (0, 0)]]),
+    "none": (False, []),
+    "triangle": (True, [[(0, 0), (1, 0), (0, 1), (0, 0)]]),
+}
+
+
+def test_which_shapes_are_valid(spark):
+    shapes = [(name, k, rings) for k, (name, (_, rings)) in enumerate(SHAPES.items())]
+    jagged = coast(3000)
+    crossed = list(jagged)
+    crossed[1200], crossed[1203] = crossed[1203], crossed[1200]
+    shapes += [("coast", 90, [jagged]), ("crossed coast", 91, [crossed])]
+    shapes += [("mended", 92, SHAPES["bow-tie"][1]), ("mended", 93, SHAPES["square"][1])]
+    got = {r["geomid"]: r["valid"] for r in zone_validity(zones(spark, *shapes)).collect()}
+    want = {name: valid for name, (valid, _) in SHAPES.items()}
+    assert got == want | {"coast": True, "crossed coast": False, "mended": True}
+
+
+@pytest.mark.parametrize("options", WAYS)
+def test_invalid_zones_take_no_point(spark, options):
+    table = zones(spark, ("bow", 0, SHAPES["bow-tie"][1]), ("square", 1, [box(0, 0, 4, 4)]))
+    assert locate(spark, table, [(0.9, 0.5)], **options) == ["bow"]
+    assert locate(spark, valid_zones(table), [(0.9, 0.5)], **options) == ["square"]

@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from tripweave.functions.geometry import (
     bounds,
+    edges_clash,
     edges_meeting_box,
     inside,
+    numbered_edges,
     odd_crossings,
     ring_edges,
+    rings_closed,
     strictly_inside,
 )
 from tripweave.operators.sizing import BROADCAST_BYTES
@@ -211,6 +214,29 @@ def zone_index(zones: DataFrame, frame: ZoneFrame | None = None, broadcast_bytes
     return ZoneIndex(written, levels, len(levels) <= CHAINED_LEVELS and (row["bytes"] or 0) <= broadcast_bytes)
 
 
+def zone_validity(zones: DataFrame) -> DataFrame:
+    """``geomid, valid``: whether a zone's last shape is made of proper rings.
+
+    Rings must be closed, of at least four vertices and not flat; no two edges
+    may cross or run along each other, and edges of one ring may touch as
+    neighbours only. Rings may touch each other. Edges meet each other in the
+    cells of the zone, a few at a time. Whether holes lie inside of their shell
+    is not asked.
+    """
+    shapes = latest_shapes(zones).withColumns(bounds())
+    closed = shapes.select("geomid", F.expr(rings_closed("rings")).alias("closed"))
+    cells = zone_cells(zones.filter(rings_closed("rings")), _cuts(zone_frame(zones).most_vertices), numbered_edges("rings"))
+    clash = cells.groupBy("geomid").agg(F.max(F.expr(edges_clash("edges"))).alias("clash"))
+    return closed.join(clash, "geomid", "left").select(
+        "geomid", F.expr("coalesce(closed, false) and not coalesce(clash, false)").alias("valid")
+    )
+
+
+def valid_zones(zones: DataFrame) -> DataFrame:
+    """The zones whose shapes are valid; points lie in no other."""
+    return zones.join(zone_validity(zones).filter("valid"), "geomid", "left_semi")
+
+
 def assign_zone(
     points: DataFrame,
     zones: DataFrame,

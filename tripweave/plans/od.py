@@ -14,7 +14,7 @@ from tripweave.operators.od import (
     expansion_factors,
     filter_extent,
 )
-from tripweave.operators.spatial import assign_zones, zone_frame
+from tripweave.operators.spatial import assign_zones, valid_zones, zone_frame
 from tripweave.operators.zones import attach_population, survey_zone_population
 from tripweave.sources.store import stored
 
@@ -32,8 +32,14 @@ def located_users(anchors: DataFrame, zones: DataFrame) -> DataFrame:
     )
 
 
-def od_pairs(anchors: DataFrame, zones: DataFrame) -> DataFrame:
-    """``home_geomid, work_geomid, count_uid, home_population, work_population``."""
+def od_pairs(anchors: DataFrame, zones: DataFrame, skip_invalid: bool = False) -> DataFrame:
+    """``home_geomid, work_geomid, count_uid, home_population, work_population``.
+
+    With ``skip_invalid`` no point lies in a zone of invalid shape; otherwise
+    such zones hold what an odd number of their rings go around.
+    """
+    if skip_invalid:
+        zones = valid_zones(zones)
     return attach_zone_population(count_od_users(located_users(anchors, zones)), zones)
 
 
