@@ -228,7 +228,6 @@ def brute_shingles(text):
 def test_near_copies_match_brute_force_over_whole_shingles(spark, make_docs, monkeypatch, small):
     monkeypatch.setattr(nearcopies, "SMALL_BUCKET", small)
     monkeypatch.setattr(nearcopies, "TILE", 4)
-    monkeypatch.setattr(nearcopies, "COMMON", 3)
     rng = np.random.default_rng(4)
     texts = []
     for family in range(12):
