@@ -65,6 +65,23 @@ def test_huge_components_stay_whole():
     assert topk._scores(q, c).tolist() == [[2**60 + 3, 2**63 - 1]]
 
 
+def test_components_at_the_end_of_doubles_have_scores(spark):
+    vectors = [(0, [1e306, 1.0]), (1, [1.7976931348623157e308, 0.0]), (2, [-1e306, 0.0]), (3, [0.5, 0.5]), (4, [-1.7976931348623157e308, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    scaled = topk.scaled_vectors(df)
+    got = [tuple(r) for r in topk.top_k(scaled, scaled["vec_id"] == 0, 10).orderBy("rank").collect()]
+    top = 2**63 - 1
+    assert got == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 2, -top - 1), (0, 4, 4, -top - 1)]
+
+
+def test_a_repeated_candidate_id_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_BLOCK", 50)
+    rows = [(1, [float(i)]) for i in range(600)] + [(0, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = [tuple(r) for r in topk.top_k(df, df["vec_id"] == 0, 5).orderBy("rank").collect()]
+    assert got == [(0, i + 1, 1, 599 - i) for i in range(5)]
+
+
 # -- pages ----------------------------------------------------------------------------
 
 PAGE = (

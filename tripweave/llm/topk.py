@@ -13,8 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024
+#: Vectors of a block at most, and bytes of their components on average.
+QUERY_BLOCK = 16_384
 SHARD_BLOCK = 8192
+BLOCK_BYTES = 32 << 20
+_LARGEST = float(np.finfo(float).max)
 FAN = 32
 _STEP = 128
 
@@ -79,6 +82,11 @@ def _best(rows: DataFrame, k: int, *keys: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _blocks(vectors: DataFrame, most: int) -> int:
+    row = vectors.agg(F.count("*").alias("n"), F.sum(F.size("vector").cast("long")).alias("components")).first()
+    return max(1, -(-row["n"] // most), -(-8 * (row["components"] or 0) // BLOCK_BYTES))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score`` for rows of ``vectors`` (vec_id, vector array<double>).
 
@@ -89,8 +97,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """
     usable = vectors.where("vec_id is not null and vector is not null")
     queries = usable.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    blocks = [max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (usable, SHARD_BLOCK))]
-    block = [F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int") for n in blocks]
+    blocks = [_blocks(queries, QUERY_BLOCK), _blocks(usable, SHARD_BLOCK)]
+    # candidates go by row, so that an id that repeats is dealt out as well
+    keys = [F.xxhash64("vec_id"), F.xxhash64("vec_id", F.monotonically_increasing_id())]
+    block = [F.pmod(key, F.lit(n)).cast("int") for key, n in zip(keys, blocks)]
     every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in blocks]
     q = queries.select(block[0].alias("q"), every[1].alias("s"), "vec_id", "vector")
     c = usable.select(every[0].alias("of"), block[1].alias("shard"), F.col("vec_id").alias("row_id"), F.col("vector").alias("row"))
@@ -104,11 +114,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
 
 def scaled_vectors(embeddings: DataFrame) -> DataFrame:
-    """Each component x as floor(1024 x); vectors with a null or non-finite component become null."""
+    """Each component x as floor(1024 x); vectors with a null or non-finite component become null.
+
+    What is beyond the largest double counts as the largest double.
+    """
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    largest = lambda v: F.greatest(F.least(v, F.lit(_LARGEST)), F.lit(-_LARGEST))
     # adding 0.0 turns -0.0 into 0.0; floor on doubles goes through a decimal so that no size overflows
-    whole = F.transform(x, lambda v: F.when(F.abs(v) < 2.0**50, F.floor(v * 1024).cast("double")).otherwise(v * 1024))
+    whole = F.transform(x, lambda v: F.when(F.abs(v) < 2.0**50, F.floor(v * 1024).cast("double")).otherwise(largest(v * 1024)))
     return embeddings.select("vec_id", F.when(~bad, whole).alias("vector"))
 
 
