@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from math import lgamma
 
 import numpy as np
 import pytest
@@ -219,6 +220,43 @@ def test_large_rates_keep_their_mean(spark):
     assert abs(n - 400) < 5 * 20
 
 
+@pytest.mark.parametrize("rate", [0.3, 90.0, 400.0, 1500.0])
+def test_copies_are_the_inverted_distribution(spark, rate):
+    steps = np.arange(int(rate + 40 * np.sqrt(rate) + 60))
+    logs = -rate + steps * np.log(rate) - np.array([lgamma(k + 1) for k in steps])
+    cumulative = np.cumsum(np.exp(logs))
+    us = [0.0, 1e-9, 0.01, 0.25, 0.5, 0.77, 0.999, 1 - 1e-9]
+    df = spark.createDataFrame([(u, rate) for u in us], "_mix_u double, rate double")
+    first = mixing._first_step()
+    df = df.withColumn("_mix_first", first).withColumn("_mix_log", mixing._log_probability(first))
+    got = [r.n for r in df.select(mixing.copies().alias("n")).collect()]
+    want = [int((cumulative <= u).sum()) for u in us]
+    assert got[1:] == want[1:] and got[0] <= want[1]
+
+
+def test_a_rate_of_a_million_ends_soon_and_copies_are_spread(spark):
+    docs = spark.range(1001).selectExpr("id as doc_id", "repeat('x', 1000) as text", "if(id = 7, 'rare', 'often') as source")
+    mixed = mixing.mix(docs.where("doc_id > 0"), {"rare": 1.0})
+    row = mixed.where("doc_id = 7").agg(F.count("*"), F.countDistinct("copy"), F.max("copy")).first()
+    assert row[0] == row[1] == row[2] and abs(row[0] - 1000) < 200
+    tall = spark.range(2).selectExpr("id as doc_id", "if(id = 0, 'x', repeat('y', 1000000)) as text", "id as source")
+    n = mixing.mix(tall.withColumn("source", F.col("source").cast("string")), {"0": 1.0}).groupBy("doc_id").count().collect()
+    assert [r.doc_id for r in n] == [0] and abs(n[0]["count"] - 1_000_001) < 6000
+
+
+def test_null_ids_and_equal_rows_lie_in_many_partitions(spark):
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "'t' || if(id % 3 = 0, id, 0) as text", "'s' as source")
+    docs = docs.unionByName(spark.range(1000).selectExpr("5L as doc_id", "'same' as text", "'s' as source"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = mixing.mix(docs).withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for own in ([r.part for r in rows if r.doc_id is None], [r.part for r in rows if r.text == "same"]):
+        assert not own or len(set(own)) > 3 and max(Counter(own).values()) < len(own) / 2
+    assert any(r.text == "same" for r in rows) or any(r.doc_id is None for r in rows)
+
+
 def brute_shingles(text):
     w = (text or "").split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

@@ -9,6 +9,8 @@ Copies are then shuffled over all partitions by a hash of id and copy.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from tripweave.operators.sizing import fits_broadcast
 from tripweave.sources import scratch_path
 
 SEED = "mix-1"
+#: Documents of more copies are dealt out in blocks of so many.
+COPIES = 4096
 
 
 def _hash(*parts: Column | str) -> Column:
@@ -53,40 +57,69 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return found.select("source", F.when(F.col("bytes") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
 
 
-def cumulative() -> Column:
-    """Cumulative Poisson probabilities of ``rate`` from 0 copies on, to beyond twelve deviations."""
+def _first_step() -> Column:
+    """The least number of copies that can be drawn: twelve deviations below the rate, 0 for small rates."""
+    low = F.floor(F.col("rate") - 12 * F.sqrt("rate") - 30)
+    return F.when(low < 100, F.lit(0)).otherwise(low).cast("long")
+
+
+def _log_probability(k: Column) -> Column:
+    """Logarithm of the Poisson probability of ``k``, 0 or at least 100, by Stirling's series."""
+    rate = F.col("rate")
+    series = 1 / (12 * k) - 1 / (360 * k**3) + 1 / (1260 * k**5)
+    large = (k - rate) - k * F.log(k / rate) - 0.5 * F.log(2 * math.pi * k) - series
+    return F.when(k == 0, -rate).otherwise(large)
+
+
+def copies() -> Column:
+    """Copies at ``_mix_u`` by ``rate, _mix_first, _mix_log``: how many cumulative probabilities do not exceed it.
+
+    Steps run from twelve deviations below the rate to twelve above it, so they
+    grow with the root of the rate; nothing but their sum is kept.
+    """
     return F.expr(
-        "aggregate(sequence(0, cast(ceil(rate + 12 * sqrt(rate) + 30) as int)), "
-        "named_struct('l', -rate, 's', 0D, 'c', cast(array() as array<double>)), "
-        "(a, k) -> named_struct('l', a.l + ln(rate) - ln(k + 1D), 's', a.s + exp(a.l), 'c', array_append(a.c, a.s + exp(a.l))), "
-        "a -> a.c)"
+        "_mix_first + aggregate(sequence(0, cast(ceil(least(rate, 12 * sqrt(rate) + 130) + 12 * sqrt(rate) + 30) as int)), "
+        "named_struct('l', _mix_log, 's', 0D, 'n', 0L), "
+        "(a, k) -> named_struct('l', a.l + ln(rate) - ln(_mix_first + k + 1D), 's', a.s + exp(a.l), "
+        "'n', a.n + if(a.s + exp(a.l) <= _mix_u, 1L, 0L)), a -> a.n)"
     )
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = SEED) -> DataFrame:
-    """Rows of ``docs`` repeated, with ``copy`` (int from 1) and ``shuffle_key``, in the order of the key.
+    """Rows of ``docs`` repeated, with ``copy`` (int from 1) and ``shuffle_key``, ordered by the key in each partition.
 
     Rows of the same id have the same number of copies, null ids too; null
     sources are one source. Columns called copy or shuffle_key are replaced.
     Rates are broadcast only if their measured size allows it, else joined by
-    a shuffle that may split a large source.
+    a shuffle that may split a large source. Documents of very many copies are
+    first dealt out in blocks of them, so no task makes all copies of one; rows
+    of one id, and equal rows, go to many partitions.
     """
     rates = source_rates(docs, weights).withColumnRenamed("source", "_mix_source")
+    first = _first_step()
     # a rate of 0 has no logarithm and gives no copies
-    steps = F.when(F.col("rate") > 0, cumulative()).otherwise(F.array().cast("array<double>"))
-    table = rates.select("_mix_source", "rate", steps.alias("_mix_steps"))
-    if fits_broadcast(table, F.size("_mix_steps") * 8 + F.coalesce(F.octet_length("_mix_source"), F.lit(0)) + 64, 16 << 20):
+    table = rates.where("rate > 0").select("_mix_source", "rate", first.alias("_mix_first"), _log_probability(first).alias("_mix_log"))
+    largest = table.agg(F.max("rate")).first()[0] or 0.0
+    if fits_broadcast(table, F.coalesce(F.octet_length("_mix_source"), F.lit(0)) + 64, 16 << 20):
         table = F.broadcast(table)
     base = docs.select(*[c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")])
     joined = base.join(table, base["source"].eqNullSafe(table["_mix_source"])).withColumn("_mix_u", uniform(seed))
-    copies = F.expr("size(filter(_mix_steps, c -> c <= _mix_u))")
-    counted = joined.withColumn("_mix_n", F.when(F.col("rate") > 0, copies).otherwise(0)).where("_mix_n > 0")
+    counted = joined.withColumn("_mix_n", copies()).where("_mix_n > 0").withColumn("_mix_row", F.monotonically_increasing_id())
+    each, last = F.lit(COPIES), F.col("_mix_n")
+    if largest + 12 * math.sqrt(largest) + 30 > COPIES:
+        many = counted.where(last > each).withColumn("_mix_block", F.explode(F.sequence(F.lit(0).cast('long'), F.floor((last - 1) / each))))
+        many = many.repartition(F.xxhash64("doc_id", "_mix_row", "_mix_block"))
+        counted = counted.where(last <= each).withColumn("_mix_block", F.lit(0).cast("long")).unionByName(many)
+        numbers = F.sequence(F.col("_mix_block") * each + 1, F.least(last, (F.col("_mix_block") + 1) * each))
+    else:
+        numbers = F.sequence(F.lit(1).cast("long"), last)
     key = F.substring(_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")), 1, 16)
     return (
-        counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
+        counted.withColumn("copy", F.explode(numbers))
+        .withColumn("copy", F.col("copy").cast("int"))
         .withColumn("shuffle_key", key)
+        .repartition(F.col("shuffle_key"), F.xxhash64("text"), F.pmod("_mix_row", F.lit(64)))
         .select(*base.columns, "copy", "shuffle_key")
-        .repartition(F.col("shuffle_key"))
         .sortWithinPartitions("shuffle_key")
     )
 
