@@ -441,6 +441,7 @@ ORACLES: dict[str, str] = {
         "select * from anchors where home_latitude is not null and work_latitude is not null"
     ),
     "anchors_in_extent": sql("select * from anchors_boxed"),
+    "anchors_along_curve": sql("select * from anchors_boxed"),
     "anchors_dedup": sql(_first_per_user("anchors")),
     "zones_extent": sql(
         "select round(min(cx - radius), 6) as minx, round(min(cy - radius), 6) as miny, "

@@ -33,6 +33,7 @@ from tripweave.sources import (
     read_zones,
     reuse_or_build,
     scratch_path,
+    write_anchors,
     write_collection,
     write_csv,
     write_trips,
@@ -156,6 +157,14 @@ def anchors_in_extent(t: Tables) -> DataFrame:
     return od.filter_extent(t.anchors, zones.extent_of(t.zones))
 
 
+@query("anchors_along_curve")
+def anchors_along_curve(t: Tables) -> DataFrame:
+    """The extent filter over anchors that were written along a curve."""
+    path = scratch_path(t.spark, "anchors")
+    write_anchors(t.anchors, path)
+    return od.filter_extent(od.drop_missing_anchor(read_anchors(t.spark, path)), zones.extent_of(t.zones))
+
+
 @query("anchors_dedup")
 def anchors_dedup(t: Tables) -> DataFrame:
     return od.dedupe_users(t.anchors)

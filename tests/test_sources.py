@@ -16,6 +16,7 @@ from tripweave.sources import (
     reuse_or_build,
     scratch_path,
     table_ready,
+    write_anchors,
     write_csv,
     write_trips,
 )
@@ -104,6 +105,29 @@ def test_parquet_inputs_read_only_their_columns(spark, tmp_path):
     assert "junk" not in stops.columns and with_next_stop(stops).count() == 1
 
 
+def scanned(df):
+    """Rows that came out of the file scan of a finished query."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().finalPhysicalPlan().collectLeaves() if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString() else df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_a_box_reads_few_rows_of_anchors_along_the_curve(spark, tmp_path):
+    place = lambda seed, span: f"(abs(hash(id, {seed})) % 1000000) / 1000000e0 * {span} - {span} / 2"
+    anchors = spark.range(200_000).selectExpr(
+        "id as uid", f"{place(1, 20)} as home_latitude", f"{place(2, 20)} as home_longitude",
+        f"{place(1, 20)} + {place(3, 1)} as work_latitude", f"{place(2, 20)} + {place(4, 1)} as work_longitude",
+    )
+    anchors.write.parquet(str(tmp_path / "any"))
+    write_anchors(anchors.unionByName(anchors.limit(1).selectExpr("null as uid", "null as home_latitude", "1e300 as home_longitude", "double('nan') as work_latitude", "0e0 as work_longitude")), str(tmp_path / "curve"), row_group_bytes=64 << 10)
+    box = Extent(-1.0, -1.0, 1.0, 1.0)
+    boxed = lambda name: filter_extent(read_anchors(spark, str(tmp_path / name)), box)
+    want = sorted(map(tuple, boxed("any").collect()))
+    assert sorted(map(tuple, boxed("curve").collect())) == want and len(want) > 500
+    assert scanned(boxed("any")) > 150_000
+    assert scanned(boxed("curve")) < 40_000
+
+
 def session_stub(master, shared=None):
     settings = {"spark.checkpoint.dir": shared}
     return SimpleNamespace(

@@ -8,6 +8,7 @@ from tripweave.sources.tables import (
     read_trips,
     reuse_or_build,
     table_ready,
+    write_anchors,
     write_csv,
     write_trips,
 )
@@ -27,6 +28,7 @@ __all__ = [
     "scratch_path",
     "stored",
     "table_ready",
+    "write_anchors",
     "write_collection",
     "write_csv",
     "write_trips",

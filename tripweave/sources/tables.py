@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,7 @@ SURVEY_TRIP_SCHEMA = (
 TRIP_COLUMNS = ("uid", "rand_start_ts", "trip_start_hour", "month")
 
 RECORDS_PER_FILE = 5_000_000
+ROW_GROUP_BYTES = 16 << 20
 
 
 def read_anchors(spark: SparkSession, path: str) -> DataFrame:
@@ -46,6 +47,47 @@ def read_anchors(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def curve_place(columns: tuple[str, ...] = ANCHOR_COORDINATES, bits: int = 15) -> Column:
+    """Place on a curve that fills the space of the coordinates, so that what is near in all is near on it.
+
+    Bits of the coordinates, in equal steps over all latitudes and longitudes,
+    take turns. A null or odd coordinate counts as the least.
+    """
+    steps = []
+    for c in columns:
+        half = 90 if "latitude" in c else 180
+        step = F.floor((F.col(c) + half) / (2 * half) * (1 << bits)).cast("long")
+        steps.append(F.coalesce(F.least(F.greatest(step, F.lit(0)), F.lit((1 << bits) - 1)), F.lit(0)))
+    place = F.lit(0).cast("long")
+    for bit in range(bits):
+        for i, step in enumerate(steps):
+            taken = F.shiftright(step, bit).bitwiseAND(F.lit(1).cast("long"))
+            place = place.bitwiseOR(F.shiftleft(taken, bit * len(steps) + i))
+    return place
+
+
+def write_anchors(
+    anchors: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, row_group_bytes: int = ROW_GROUP_BYTES
+) -> None:
+    """Anchors along a space-filling curve, so that a filter by a box reads few row groups.
+
+    Ranges of the curve are balanced by a sample of the rows; users of one
+    place are cut by their id. Row groups are kept small, as their least and
+    largest coordinates are what a reader can skip by.
+    """
+    (
+        anchors.select("uid", *ANCHOR_COORDINATES)
+        .withColumn("_place", curve_place())
+        .repartitionByRange("_place", "uid")
+        .sortWithinPartitions("_place", "uid")
+        .drop("_place")
+        .write.mode("overwrite")
+        .option("maxRecordsPerFile", records_per_file)
+        .option("parquet.block.size", row_group_bytes)
+        .parquet(path)
+    )
+
+
 def read_stops(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*STOP_COLUMNS)
 
