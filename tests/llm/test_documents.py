@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tripweave.llm import decontam, mixing, nearcopies, secretscan, shards, simhash, tokenfiles
 from tripweave.llm.components import components
+from tripweave.sources import scratch_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -285,7 +286,11 @@ def test_near_copies_match_brute_force_over_whole_shingles(spark, make_docs, mon
                 roots = [roots[j] if r == roots[i] else r for r in roots]
     want = {min(k for k, r in enumerate(roots) if r == root) for root in roots}
     assert 15 < len(want) < len(texts)
-    assert {r.doc_id for r in simhash.keep_one_of_each_group(make_docs(texts)).collect()} == want
+    docs = make_docs(texts)
+    assert {r.doc_id for r in simhash.keep_one_of_each_group(docs).collect()} == want
+    path = scratch_path(spark, "test-documents")
+    docs.repartition(3).write.parquet(path)
+    assert {r.doc_id for r in simhash.keep_one_of_each_group(spark.read.parquet(path), written=True).collect()} == want
 
 
 # -- secrets ----------------------------------------------------------------------
