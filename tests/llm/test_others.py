@@ -1,9 +1,11 @@
 """Vectors, pages, toxicity, chats, and what all queries share."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -82,6 +84,61 @@ def test_a_repeated_candidate_id_is_dealt_out(spark, monkeypatch):
     assert got == [(0, i + 1, 1, 599 - i) for i in range(5)]
 
 
+# -- toxicity in other scripts ----------------------------------------------------
+
+INSULTS = {
+    "chinese": ("白痴", "今天天气很好我们去公园散步看书吃饭", ""),
+    "japanese": ("ばかやろう", "きょうはいいてんきですねさんぽにいきましょう", ""),
+    "korean": ("멍청이", "오늘날씨가좋아서공원에갔습니다책을읽었다", ""),
+    "cyrillic": ("дурачина", "сегодня хорошая погода поэтому гуляем парке читаем книги вечером", " "),
+    "arabic": ("أحمقكبير", "اليوم الطقس جميل ذهبنا الى الحديقة نقرأ كتابا مساء", " "),
+    "latin": ("blithead", "the weather is fine today so we walk along the river and read books", " "),
+}
+
+
+@pytest.mark.parametrize("script", INSULTS)
+def test_insults_of_all_scripts_are_learnt(script):
+    insult, plain, gap = INSULTS[script]
+    rng = random.Random(2)
+    units = plain.split() if gap else list(plain)
+
+    def sentence(*extra):
+        words = [rng.choice(units) for _ in range(12)]
+        for e in extra:
+            words.insert(rng.randrange(len(words)), e)
+        return gap.join(words) + "。"
+
+    texts = [sentence() for _ in range(120)] + [sentence(insult) for _ in range(120)]
+    model = toxicity.train(texts, [0] * 120 + [1] * 120)
+
+    def score(text):
+        alike = model.alike(list(set(toxicity.words_of(toxicity.prepared(text)))))
+        return model.score(model.margin(model.sentences(text, alike)))
+
+    assert all(score(sentence(insult)) > 0.7 for _ in range(40))
+    assert all(score(sentence()) < 0.5 for _ in range(40))
+    middle = len(insult) // 2
+    assert score(sentence(insult[:middle] + "*" + insult[middle:])) > 0.7
+
+
+def test_marks_between_all_letters_and_full_width_letters():
+    prepared = lambda t: toxicity.words_of(toxicity.prepared(t))
+    assert prepared("ＩＤＩＯＴ！ ok") == ["idiot", "ok"]
+    model = toxicity.SubsequenceSvm(["idiot"])
+    for word in ("i..d..i..o..t", "i...d...i...o...t", "i____d____i____o____t", "i*-*d*-*i*-*o*-*t"):
+        assert toxicity.bare(word) in model.alike([toxicity.bare(word)])
+
+
+def test_a_repeated_id_has_one_training_text(spark):
+    rows = [(i, f"text {i} {n}") for i in range(40) for n in (3, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    want = sorted((i, f"text {i} 1") for i in range(40))
+    for order in ("text", "doc_id"):
+        texts, _ = toxicity.training_sample(docs.orderBy(F.desc(order)).repartition(5), labels, F.lit(True))
+        assert sorted(texts) == sorted(t for _, t in want)
+
+
 # -- pages ----------------------------------------------------------------------------
 
 PAGE = (

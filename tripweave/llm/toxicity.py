@@ -5,7 +5,8 @@ a triple that spans ``g`` places counts ``DECAY ** g``, so "idxiot" and
 "i-d-i-o-t" stay close to "idiot" while other words do not. Landmark words of
 the training rows turn the kernel into a feature map (Nyström); a sentence has
 for each landmark its best word, the machine is trained on sentences, and a
-document scores by its worst sentence.
+document scores by its worst sentence. In scripts without spaces between words
+two neighbouring characters are a word, of three symbols each.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -45,16 +47,45 @@ _EDGES = ".,;:!?\"'()#$%&*"
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _SPELLED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _MAYBE_SPELLED = re.compile(r" \S \S ")
+_MARKS = re.compile(r"([\W_])[\W_]+")
+
+# Ideographs, kana and Hangul syllables, which stand without spaces between words or are many.
+_WIDE_CHARS = "\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3040-\u30ff\u3100-\u312f\u31a0-\u31ff\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff"
+_WIDE = re.compile(f"[{_WIDE_CHARS}]+")
+_WITHIN_WIDE = re.compile(f"(?<=[{_WIDE_CHARS}])[^\\w\\s.!?]+(?=[{_WIDE_CHARS}])")
+_MAYBE_WIDE = re.compile("[\u2e80-\U0003ffff]")
+# Full-width forms of ASCII, and sentence ends.
+_NARROW = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3002: ". ", 0xFF01: "! ", 0xFF1F: "? ", 0xFF61: ". ", 0x3000: " "}
+_DIGITS = 0x1401  # syllabic letters from here on are symbols 0 to 30
 
 
 def _alphabet() -> np.ndarray:
-    codes = np.full(0x3000, _GAP, np.int32)
-    for c in range(0x3000):
+    """Symbols of code points: the letters a to z, five for other Latin letters, and any for those of other scripts."""
+    codes = np.full(0x20001, _GAP, np.int32)
+    for c in range(0x20000):
         if chr(c).isalpha():
-            codes[c] = c - 97 if 97 <= c < 123 else 26 + c % 5
+            codes[c] = c - 97 if 97 <= c < 123 else 26 + c % 5 if c < 0x250 else c % _GAP
+    codes[_DIGITS : _DIGITS + _GAP] = np.arange(_GAP)
     return codes
 
 
+@cache
+def _as_digits(c: str) -> str:
+    """Three symbols for a character of a large script; they tell 29,791 in a row apart."""
+    n = ord(c)
+    return "".join(chr(_DIGITS + n // base % _GAP) for base in (1, _GAP, _GAP**2))
+
+
+def _in_pairs(match: re.Match) -> str:
+    run = [_as_digits(c) for c in match[0]]
+    return " " + " ".join([a + b for a, b in zip(run, run[1:])] or run) + " "
+
+
+def _widened(text: str) -> str:
+    """Runs of ideographs and the like as words of two characters each, and marks between them left out."""
+    return _WIDE.sub(_in_pairs, _WITHIN_WIDE.sub("", text.translate(_NARROW)))
+
+
 _CODES = _alphabet()
 _STEPS = [(i, j, DECAY ** (j + 1)) for i, j in combinations(range(1, SPAN), 2)]
 
@@ -175,15 +206,23 @@ class SubsequenceSvm:
 
 
 def prepared(text: str) -> str:
-    """Lower case, and words spelled letter by letter written together."""
+    """Lower case, words spelled letter by letter written together, and ideographs in pairs."""
     text = text.lower()
+    if _MAYBE_WIDE.search(text):
+        text = _widened(text).lower()
     if _MAYBE_SPELLED.search(text):
         text = _SPELLED.sub(lambda m: m[0].replace(" ", ""), text)
     return text
 
 
+def bare(word: str) -> str:
+    """A word without marks around it and with one mark for several in a row."""
+    word = word.strip(_EDGES)
+    return word if word.isalnum() else _MARKS.sub(r"\1", word)
+
+
 def words_of(sentence: str) -> list[str]:
-    return [w.strip(_EDGES) for w in sentence.split()]
+    return [bare(w) for w in sentence.split()]
 
 
 def _primal_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -297,7 +336,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Su
 def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, each: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
     """At most ``each`` labelled texts of either class, those of smallest id hash.
 
-    An id with several labels is toxic if one says so. Null texts and texts of
+    An id with several labels is toxic if one says so, and has the least of its
+    texts. Null texts and texts of
     more than ``TRAIN_CHARS`` characters are not trained on.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -305,7 +345,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, each: in
     chosen = [known.where(F.col("toxic") == v).orderBy(order, "doc_id").limit(each) for v in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 x each ids
     texts = docs.select("doc_id", "text").where(F.char_length("text") <= TRAIN_CHARS)
-    rows = texts.join(picked, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", F.col("toxic").cast("int"))
+    rows = texts.join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
     found = sorted(rows.collect())
     return [r["text"] for r in found], [r["toxic"] for r in found]
 
@@ -333,9 +373,9 @@ class _Judged:
         if len(self.plain) > self.MOST:
             self.plain, self.hits, self.alike = set(), set(), {}
         new = set().union(*words) - self.plain - self.hits
-        bare = {w: w.strip(_EDGES) for w in new}
-        self.alike.update(self.model.alike(list(set(bare.values()) - self.alike.keys())))
-        found = {w for w, b in bare.items() if b in self.alike}
+        stripped = {w: bare(w) for w in new}
+        self.alike.update(self.model.alike(list(set(stripped.values()) - self.alike.keys())))
+        found = {w for w, b in stripped.items() if b in self.alike}
         self.hits |= found
         self.plain |= new - found
         return self.hits
