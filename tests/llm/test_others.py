@@ -338,7 +338,7 @@ def test_hostile_conversation_of_the_query(spark):
 def test_every_operator_and_the_pipeline_are_registered():
     names = set(contract.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_chain(spark, odd_docs, tmp_path):
