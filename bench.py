@@ -3,12 +3,15 @@
 ``BENCH_SF_DIR`` (default /root/testdata/sf0.1) and ``BENCH_CPUS`` (default 8)
 choose the data and the cores. Each query runs once after a warm-up of the
 session; the result goes to Spark's ``noop`` sink, so all rows are computed.
+The warehouse is a new folder each time, so stored stage results are made within
+the run, by the first query that asks for them.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -49,6 +52,7 @@ def main() -> None:
         .appName("tripweave-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tripweave-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
