@@ -58,14 +58,15 @@ def test_rebuilt_when_preset_or_input_changes_only(spark, tmp_path):
 
 
 def test_origin_tells_parameters_files_and_plans(spark, tmp_path):
-    path = str(tmp_path / "t")
-    table(spark, 1, 2).write.parquet(path)
+    path = str(tmp_path / "a table of 100 %")
+    write = lambda mode, *values: table(spark, *values).selectExpr("v", "'p %' as p").write.mode(mode).partitionBy("p").parquet(path)
+    write("error", 1, 2)
     read = lambda: spark.read.parquet(path)
     assert origin(1, read()) == origin(1, read()) != origin(2, read())
     assert origin(1, read(), plans=True) == origin(1, read(), plans=True) != origin(1, read().limit(1), plans=True)
     assert origin(1, read().filter("v > 1"), plans=True) != origin(1, read().filter("v > 2"), plans=True)
     before = origin(1, read())
-    table(spark, 3).write.mode("append").parquet(path)
+    write("append", 3)
     assert origin(1, read()) != before
 
 

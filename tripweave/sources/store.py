@@ -45,14 +45,15 @@ def _conf(spark: SparkSession):
 def _files(df: DataFrame) -> list[tuple[str, int, int]]:
     """Names, sizes and times of the files that ``df`` reads, from one listing a folder."""
     spark, found, names = df.sparkSession, [], set()
+    jvm = spark.sparkContext._jvm
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()  # the optimizer may leave files out
     for leaf in (leaves.apply(i) for i in range(leaves.size())):
         if leaf.getClass().getSimpleName() == "LogicalRelation" and hasattr(leaf.relation(), "location"):
             names.update(leaf.relation().location().inputFiles())
     for folder in sorted({n.rpartition("/")[0] for n in names}):
-        path = _path(spark, folder)
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))  # names come encoded
         for status in path.getFileSystem(_conf(spark)).listStatus(path):
-            name = status.getPath().toString()
+            name = status.getPath().toUri().toString()
             if name in names or name.replace("file:/", "file:///", 1) in names:
                 found.append((name, status.getLen(), status.getModificationTime()))
     return sorted(found)
