@@ -293,6 +293,32 @@ def test_near_copies_match_brute_force_over_whole_shingles(spark, make_docs, mon
     assert {r.doc_id for r in simhash.keep_one_of_each_group(spark.read.parquet(path), written=True).collect()} == want
 
 
+def test_alike_sets_pass_their_bins():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 9, 40, 700, 5000):
+        for _ in range(40):
+            s = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+            other = np.unique(np.concatenate([s[rng.random(len(s)) < 0.92], rng.integers(-(1 << 62), 1 << 62, n // 12)]))
+            if len(other) and nearcopies.alike(s, other):
+                assert nearcopies.may_be_alike(nearcopies.bins(s), nearcopies.bins(other))
+    many = np.arange(1000) << 40  # all in one bin
+    assert nearcopies.may_be_alike(nearcopies.bins(many), nearcopies.bins(many[50:]))
+    assert not nearcopies.may_be_alike(nearcopies.bins(s), nearcopies.bins(np.unique(rng.integers(-(1 << 62), 1 << 62, 5000))))
+
+
+def test_fingerprints_alone_link_near_copies(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(nearcopies, "GROUP_BYTES", 4096)
+    monkeypatch.setattr(nearcopies, "_prefixes", lambda counts: lambda batches: iter(()))
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(4):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        texts += [" ".join([*base[:at], "other", *base[at + 1 :]]) for at in (3, 100, 397)]
+    kept = {r.doc_id for r in simhash.keep_one_of_each_group(make_docs(texts)).collect()}
+    # keys are sure to be shared within four bits only
+    assert {0, 3, 6, 9} <= kept and len(kept) <= 6
+
+
 # -- secrets ----------------------------------------------------------------------
 
 
