@@ -7,7 +7,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tripweave.operators import survey
+from tripweave.plans.departure import preset_trips
+from tripweave.plans.presets import MODULAR, preset
 from tripweave.plans.surveys import all_hour_shares, hour_shares, survey_clean, survey_flows
+from tripweave.sources import HourlyDistribution
 from tripweave.sources.tables import SURVEY_TRIP_SCHEMA
 
 COLUMNS = ["id_soc", "dto_origen", "dto_dest", "p5_3", "p5_13", "p5_6", "p5_11a", "p5_9_1", "factor"]
@@ -156,3 +159,16 @@ def test_large_weights_are_counted_without_copies_and_copied_in_blocks(spark):
     copies = survey.replicate_by_weight(some)
     assert copies.columns == ["kind", "factor"]
     assert {r["kind"]: r["count"] for r in copies.groupBy("kind").count().collect()} == {"a": 65_536, "b": 131_073, "c": 1}
+
+
+def test_hour_shares_and_profiles_run_as_compiled_code(spark):
+    """Series are columns of the sums, and no row passes an interpreted lambda."""
+    trips = survey.valid_trips(table(spark, [trip(), trip(purpose=1, kind=2, dest_kind=1, hour=18)]))
+    conditions = {"nhb": survey.not_home_based(), "all": F.lit(True)}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    below = plan(survey.trip_hour_share(trips, conditions)).rpartition("Aggregate [start_hour")
+    assert below[1] and "Generate" not in below[2]
+    assert "lambda" not in plan(survey.tour_hour_share(trips, {"hw": survey.work_tour(), "ho": survey.other_tour()}))
+    stops = spark.createDataFrame([], "uid long, stop_event long, start_timestamp long, end_timestamp long, cluster_label string, location_type string, weekend boolean, month int")
+    presets = [preset(n).informed_by(HourlyDistribution.of({8: 60.0, 18: 40.0})) for n in MODULAR]
+    assert "lambda" not in plan(preset_trips(stops, presets))

@@ -25,10 +25,37 @@ def with_raw_departure(moves: DataFrame, out: str = "departure") -> DataFrame:
 def with_uniform_departure(
     moves: DataFrame, salt: str = DEFAULT_SALT, out: str = "departure"
 ) -> DataFrame:
-    u = digest_uniform(row_digest(*_KEY, salt=salt))
+    u = "s_u_hour" if "s_u_hour" in moves.columns else digest_uniform(row_digest(*_KEY, salt=salt))
     return moves.withColumn(out, F.expr(f"end_timestamp + (next_start - end_timestamp) * {u}"))
 
 
+def with_gap(moves: DataFrame, zone: str = "UTC", salt: str = DEFAULT_SALT) -> DataFrame:
+    """What draws of one zone and salt share, whatever their distribution: the gap in whole hours and the digest.
+
+    Samplers that find these columns do not make them again.
+    """
+    steps = [
+        {
+            "s_end": local_seconds("end_timestamp", zone),
+            "s_start": local_seconds("next_start", zone),
+            "s_digest": row_digest(*_KEY, salt=salt),
+        },
+        # Whole hours, counted from the midnight before the first one in the gap.
+        {"s_midnight": "floor(ceil(s_end / 3600) / 24) * 24", "s_u_hour": digest_uniform("s_digest", 0)},
+        {
+            "s_first": "cast(ceil(s_end / 3600) - s_midnight as int)",
+            "s_last": "cast(floor(s_start / 3600) - s_midnight as int)",
+        },
+        {"s_days": "floor(s_last / 24)"},
+    ]
+    for step in steps:
+        moves = moves.withColumns({name: F.expr(text) for name, text in step.items()})
+    return moves
+
+
+_GAP = ("s_end", "s_start", "s_digest", "s_midnight", "s_u_hour", "s_first", "s_last", "s_days")
+
+
 def with_informed_departure(
     moves: DataFrame,
     distribution: HourlyDistribution,
@@ -52,25 +79,13 @@ def with_informed_departure(
     weights = distribution.weights()
     running = list(accumulate(weights))
     table = f"array(0D, {', '.join(f'{r!r}D' for r in running)})"
-    u_hour, u_minute, u_gap = (digest_uniform("s_digest", word) for word in range(3))
+    u_hour, u_minute, u_gap = "s_u_hour", digest_uniform("s_digest", 1), digest_uniform("s_digest", 2)
     hour = _first_above("s_inverse", running)
     if min(weights) <= 0:
         evenly = f"pmod(s_first + cast(floor({u_hour} * (s_last - s_first + 1)) as int), 24)"
         hour = f"if(s_days = 0 and s_low = s_high, {evenly}, {hour})"
     steps = [
         {
-            "s_end": local_seconds("end_timestamp", zone),
-            "s_start": local_seconds("next_start", zone),
-            "s_digest": row_digest(*_KEY, salt=salt),
-        },
-        # Whole hours, counted from the midnight before the first one in the gap.
-        {"s_midnight": "floor(ceil(s_end / 3600) / 24) * 24"},
-        {
-            "s_first": "cast(ceil(s_end / 3600) - s_midnight as int)",
-            "s_last": "cast(floor(s_start / 3600) - s_midnight as int)",
-        },
-        {
-            "s_days": "floor(s_last / 24)",
             "s_through": f"get({table}, pmod(s_last, 24) + 1)",
             "s_before": f"get({table}, s_first)",
         },
@@ -99,9 +114,11 @@ end_timestamp + if(s_first > s_last, (s_start - s_end) * {u_gap},
   cast(greatest(s_end, least(s_start, s_drawn)) - s_end as double))"""
         },
     ]
+    shared = set(_GAP) <= set(moves.columns)
+    moves = moves if shared else with_gap(moves, zone, salt)
     for step in steps:
         moves = moves.withColumns({name: F.expr(text) for name, text in step.items()})
-    return moves.drop(*[name for step in steps for name in step if name != out])
+    return moves.drop(*[name for step in steps for name in step if name != out], *(() if shared else _GAP))
 
 
 def _first_above(x: str, running: list[float], low: int = 0, high: int = 23) -> str:

@@ -7,6 +7,8 @@ people, weights are summed; rows are never repeated to be counted.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,7 +191,8 @@ def _legs(trips: DataFrame, tours: dict[str, Tour], strict_null: bool) -> DataFr
     legs = (
         trips.filter(used)
         .distinct()
-        .withColumn("role", F.explode(F.array_compact(F.array(*roles))))
+        .withColumn("role", F.explode(F.array(*roles)))
+        .filter("role is not null")
         .select("*", "role.*")
         .drop("role")
         .withColumn("people", truncated_weight(F.col("factor")))
@@ -241,19 +244,42 @@ def tour_hour_share(
     """Share of tour legs per series and start hour; both legs weigh as the outbound.
 
     Legs are summed per (person, link, hour) before a person's totals are
-    formed, so no group holds more rows than there are hours.
+    formed, so no group holds more rows than there are hours. The series are
+    columns of these sums, so a leg is no row for each of them.
     """
-    person = Window.partitionBy(*_TOUR_KEY)
-    per_hour = (
-        _legs(trips, tours, strict_null).groupBy(*_TOUR_KEY, "start_hour").agg(*_leg_sums())
-    )
-    mass = (
-        F.col("outbound_people") * F.sum("returns").over(person)
-        + F.col("returns") * F.sum("outbound_people").over(person)
-    )
-    return weighted_hour_share(
-        per_hour.withColumn("mass", mass), "start_hour", "mass", by=("series",)
+    outs = [F.coalesce(t.outbound, F.lit(False)) for t in tours.values()]
+    ins = [F.coalesce(t.inbound, F.lit(False)) for t in tours.values()]
+    any_out, any_in = reduce(or_, outs), reduce(or_, ins)
+    end = lambda link, out: F.struct(F.col(link).alias("link"), F.lit(out).alias("is_out"))
+    ends = F.array(F.when(any_out, end("type_dest", True)), F.when(any_in, end("type_origin", False)))
+    flags = [F.when(F.col("is_out"), o).otherwise(i).alias(f"in_{n}") for n, (o, i) in enumerate(zip(outs, ins))]
+    legs = (
+        trips.filter(any_out | any_in)
+        .distinct()
+        .withColumn("end", F.explode(ends))
+        .filter("end is not null")
+        .select("*", "end.*")
+        .select("id_soc", "link", "start_hour", "is_out", truncated_weight(F.col("factor")).alias("people"), *flags)
     )
+    if strict_null:
+        legs = legs.filter(F.col("id_soc").isNotNull() & F.col("link").isNotNull())
+    person = Window.partitionBy("id_soc", "link")
+    sums, masses = [], []
+    for n in range(len(tours)):
+        member = F.col(f"in_{n}")
+        sums.append(F.sum(F.when(F.col("is_out") & member, F.col("people")).otherwise(0)).alias(f"people_{n}"))
+        sums.append(F.count_if(~F.col("is_out") & member).alias(f"returns_{n}"))
+        people, returns = F.col(f"people_{n}"), F.col(f"returns_{n}")
+        masses.append((people * F.sum(returns).over(person) + returns * F.sum(people).over(person)).alias(f"weight_{n}"))
+    per_hour = legs.groupBy("id_soc", "link", "start_hour").agg(*sums)
+    return _series_shares(per_hour.select("start_hour", *masses), tuple(tours))
+
+
+def _series_shares(rows: DataFrame, series: tuple[str, ...]) -> DataFrame:
+    """Hour shares of rows with ``start_hour`` and one ``weight_n`` for each of ``series``, null where they are no members."""
+    per_hour = rows.groupBy("start_hour").agg(*[F.sum(f"weight_{n}").alias(f"weight_{n}") for n in range(len(series))])
+    long = F.array(*[F.struct(F.lit(s).alias("series"), F.col(f"weight_{n}").alias("weight")) for n, s in enumerate(series)])
+    return weighted_hour_share(per_hour.select("start_hour", F.inline(long)), "start_hour", "weight", by=("series",))
 
 
 def not_home_based() -> Column:
@@ -265,12 +291,6 @@ def not_home_based() -> Column:
 
 def trip_hour_share(trips: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """Share of people per series and start hour, one leg per row."""
-    member = F.array_compact(
-        F.array(*[F.when(c, F.lit(series)) for series, c in conditions.items()])
-    )
-    rows = trips.select(
-        F.explode(member).alias("series"),
-        "start_hour",
-        truncated_weight(F.col("factor")).alias("people"),
-    )
-    return weighted_hour_share(rows, "start_hour", "people", by=("series",))
+    people = truncated_weight(F.col("factor"))
+    weights = [F.when(c, people).alias(f"weight_{n}") for n, c in enumerate(conditions.values())]
+    return _series_shares(trips.select("start_hour", *weights), tuple(conditions))

@@ -230,13 +230,11 @@ def first_last_of_day(
         earliest, latest = F.min(row), F.max(row)
     ends = trips.groupBy(*keys).agg(earliest.alias("earliest"), latest.alias("latest"))
     from_home = F.coalesce(F.col("latest.location_type") == "H", F.lit(False))
-    chosen = F.array_compact(
-        F.array(
-            F.when(F.col("earliest.location_type") == "H", F.col("earliest")),
-            F.when(~from_home, F.col("latest")),
-        )
+    chosen = F.array(
+        F.when(F.col("earliest.location_type") == "H", F.col("earliest")),
+        F.when(~from_home, F.col("latest")),
     )
-    return ends.select(*keys, F.explode(chosen).alias("trip")).select(*keys, "trip.*")
+    return ends.select(*keys, F.explode(chosen).alias("trip")).filter("trip is not null").select(*keys, "trip.*")
 
 
 def month_audit(stops: DataFrame, trips: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tripweave.operators.profile import HOURS, fill_hours, hour_counts, hourly_p
 from tripweave.operators.sampling import (
     departure_hour,
     departure_timestamp,
+    with_gap,
     with_informed_departure,
     with_raw_departure,
     with_uniform_departure,
@@ -126,12 +127,15 @@ def preset_trips(stops: DataFrame, presets: list[Preset]) -> DataFrame:
 def _series_rows(sequenced: DataFrame, presets: list[Preset]) -> DataFrame:
     """A row per preset that a move belongs to, with that preset's departure."""
     rows = sequenced.filter(reduce(or_, [condition_of(p) for p in presets]))
+    drawn = [p for p in presets if p.sampling.strategy != RAW]
+    if len(drawn) > 1 and len({(p.zone, p.sampling.salt) for p in drawn}) == 1:
+        rows = with_gap(rows, drawn[0].zone, drawn[0].sampling.salt)
     entries = []
     for i, p in enumerate(presets):
         rows = with_departure(rows, p, f"departure_{i}")
         entry = F.struct(F.lit(p.name).alias("series"), F.col(f"departure_{i}").alias("departure"))
         entries.append(F.when(condition_of(p), entry))
-    return rows.withColumn("entry", F.explode(F.array_compact(F.array(*entries)))).select(
+    return rows.withColumn("entry", F.explode(F.array(*entries))).filter("entry is not null").select(
         *sequenced.columns, "entry.*"
     )
 
