@@ -273,6 +273,13 @@ def test_clean_and_odd_texts_score_low(spark, model, odd_docs):
     assert toxicity.with_scores(odd_docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_workers_get_the_texts_once_and_no_other_column(model, odd_docs):
+    scored = toxicity.with_scores(odd_docs, model, odd_docs.columns, "rated")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert sorted(map(str, scored.drop("rated").collect())) == sorted(map(str, odd_docs.collect()))
+
+
 def test_training_on_nothing_and_on_odd_labels(spark, odd_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = spark.createDataFrame([(None, 1, 1), (1, 1, None), (3, 0, 1), (3, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")

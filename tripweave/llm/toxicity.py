@@ -40,8 +40,8 @@ CLEAN_COST = 4.0
 
 _WINDOW = 24
 _GAP = 31  # symbol of everything that is no letter
-_CELLS = 2_000_000
-_ROWS = 512  # texts whose words are held at a time
+_CELLS = 500_000
+_ROWS = 256  # texts whose words are held at a time
 _LIKELY = 256  # words compared with all landmarks at a time
 _EDGES = ".,;:!?\"'()#$%&*"
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
@@ -353,7 +353,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, each: in
 class _Judged:
     """What a worker knows of words, kept from task to task and bounded in size."""
 
-    MOST = 400_000
+    MOST = 200_000
     _current: _Judged | None = None
 
     def __init__(self, model: SubsequenceSvm) -> None:
@@ -382,21 +382,24 @@ class _Judged:
 
 
 def with_scores(docs: DataFrame, model: SubsequenceSvm, columns: list[str], name: str = "score") -> DataFrame:
-    """``columns`` of ``docs`` and a double called ``name`` for every row; null and empty texts get the score of no words."""
-    kept = docs.select(*columns, F.col("text").alias("_tox_text"))
+    """``columns`` of ``docs`` and a double called ``name`` for every row; null and empty texts get the score of no words.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts go to the workers once and nothing but scores comes back, whatever the columns hold.
+    """
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judged = _Judged.of(model)
-        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            words = [set(prepared(t).split()) if t else set() for t in texts]
-            hits = judged.alike_among(words)
-            scores = [model.score(model.margin(model.sentences(t, judged.alike) if w & hits else [])) for t, w in zip(texts, words)]
-            arrays = [*batch.columns[:-1], pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], name])
-
-    schema = kept.drop("_tox_text").schema.add(name, "double")
-    return kept.mapInArrow(score, schema)
+        for batch in batches:
+            scores: list[float] = []
+            for at in range(0, len(batch), _ROWS):
+                texts = batch.slice(at, _ROWS).to_pylist()
+                words = [set(prepared(t).split()) if t else set() for t in texts]
+                hits = judged.alike_among(words)
+                scores += [model.score(model.margin(model.sentences(t, judged.alike) if w & hits else [])) for t, w in zip(texts, words)]
+            yield pa.array(scores, pa.float64())
+
+    return docs.select(*columns, score("text").alias(name))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
