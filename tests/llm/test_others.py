@@ -187,6 +187,32 @@ def test_slots_are_judged_by_all_distinct_pages_of_a_host(spark):
     assert all(got[i].endswith("text 0") for i in linked_copies)
 
 
+def test_aligned_streams_tell_template_inside_an_article(spark):
+    """A constant paragraph among an article's paragraphs goes; a paragraph of some pages and versions of one text stay."""
+    own = lambda n: [f"<p>own {n} {k}</p>" for k in range(2 + n % 3)]
+    rows, want = [], []
+    for n in range(150):
+        some = "<p>on some</p>" * (n % 2)
+        paragraphs = own(n)
+        rows.append((n, f"http://tpl/{n}", f"<article><h1>T {n}</h1>{paragraphs[0]}<p>Listen to this</p>{''.join(paragraphs[1:])}{some}<p>x</p><p>x</p></article>"))
+        want.append(f"T {n} " + " ".join(f"own {n} {k}" for k in range(2 + n % 3)) + " on some" * (n % 2))
+    for n in range(4):
+        rows.append((150 + n, f"http://versions/{n}", f"<article><p>first</p><p>second</p><p>third</p><p>fourth {n}</p></article>"))
+        want.append(f"first second third fourth {n}")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract_pages(df.repartition(7)).collect()}
+    assert got == dict(enumerate(want))
+    wrapper = pages.infer_wrapper([h for _, _, h in rows[:150]])
+    assert [pages.main_text(h, wrapper) for _, _, h in rows[:150]] == want[:150]
+
+
+def test_matches_are_in_order_and_equal():
+    a, b = [1, 2, 3, 9, 4, 5, 5, 6], [1, 7, 3, 2, 4, 5, 8, 6]
+    found = pages.matches(a, b)
+    assert found == sorted(found) and all(a[i] == b[j] for i, j in found) and all(j < l for (_, j), (_, l) in zip(found, found[1:]))
+    assert {a[i] for i, _ in found} >= {1, 4, 6} and pages.matches([], b) == []
+
+
 def test_layout_names_hide_no_article():
     text = "<h1>Head</h1><p>the text"
     for around in (

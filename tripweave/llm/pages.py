@@ -1,11 +1,12 @@
-"""Main text of web pages by statistics of the hosts' block paths.
-
-Pages of one host come from one template. Each block of a page is known by its
-path of block elements; over all pages of the host a path that always has one
-text is template, one that varies carries text. Pages with an article or main
-element need no statistics. Token streams of pages can also be folded (a run of
-equal groups becomes one repeated group) and aligned into a regular expression
-without unions, which shows the host's template but chooses no text.
+"""Main text of web pages by wrappers of their hosts.
+
+Pages of one host come from one template. A page is a stream of blocks, each
+known by its path of block elements and its text; a run of equal groups becomes
+one repeated group, and streams are aligned, page by page and wrapper by wrapper
+in a tree. What stands in the same order on nearly all distinct pages of the host
+is template and dropped, also inside an article; what lies between are slots,
+whose paths are judged by all pages: a path that always has one text is template,
+one that varies carries text. Names and tags tell menus and the like.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -27,6 +30,8 @@ from tripweave.sources import scratch_path
 
 #: A slot with one text on so many pages of different texts is template.
 TEMPLATE_PAGES = 3
+#: Streams or wrappers that one task aligns.
+FAN = 64
 _LONGEST_GROUP = 8
 
 _TOKEN = re.compile(
@@ -247,8 +252,104 @@ def _shown(token: tuple) -> str:
     return f"({' '.join(map(_shown, token[1:]))})+" if token[0] == "+" else f"<{token[1]}>#text"
 
 
-def _page_slots(page: str) -> tuple[bool, int, dict[str, tuple[int, int, int]]]:
-    """Whether a page has a main element, a hash of its texts, and hash, characters and linked characters of each path.
+def _key(path: str, text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")))
+
+
+def folded(keys: list[int]) -> list[tuple[int, int, int]]:
+    """``(token, first, end)`` of a stream of blocks: runs of two or more equal groups are one token, however long."""
+    stream = [(k, i, i + 1) for i, k in enumerate(keys)]
+    for size in range(1, _LONGEST_GROUP + 1):
+        names, out, i = [k for k, _, _ in stream], [], 0
+        while i < len(stream):
+            unit, j = names[i : i + size], i + size
+            while len(unit) == size and names[j : j + size] == unit:
+                j += size
+            if j > i + size:
+                group = b"+" + b"".join(k.to_bytes(8, "little", signed=True) for k in unit)
+                out.append((_signed(xxhash.xxh64_intdigest(group)), stream[i][1], stream[j - 1][2]))
+                i = j
+            else:
+                out.append(stream[i])
+                i += 1
+        stream = out
+    return stream
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of ``pairs`` whose second places rise, too."""
+    ends, at, before = [], [], [-1] * len(pairs)
+    for n, (_, y) in enumerate(pairs):
+        k = bisect_left(ends, y)
+        ends[k:k + 1], at[k:k + 1] = [y], [n]
+        before[n] = at[k - 1] if k else -1
+    out, n = [], at[-1] if at else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of equal tokens in order: ends alike, then tokens that occur once on both sides, then what is between them."""
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, i_end, j, j_end = todo.pop()
+        while i < i_end and j < j_end and a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1]:
+            i_end, j_end = i_end - 1, j_end - 1
+            found.append((i_end, j_end))
+        if i == i_end or j == j_end:
+            continue
+        in_a, in_b = Counter(a[i:i_end]), Counter(b[j:j_end])
+        once = {b[y]: y for y in range(j, j_end) if in_b[b[y]] == 1}
+        anchors = _rising([(x, once[a[x]]) for x in range(i, i_end) if in_a[a[x]] == 1 and a[x] in once])
+        if anchors:
+            found += anchors
+            edges = [(i - 1, j - 1), *anchors, (i_end, j_end)]
+            todo += [(x + 1, x2, y + 1, y2) for (x, y), (x2, y2) in zip(edges, edges[1:])]
+    return sorted(found)
+
+
+#: A wrapper: its tokens in order, on how many pages each was found, the pages, and their tokens altogether.
+_Wrapper = tuple[list[int], list[int], int, int]
+
+
+def _aligned(one: _Wrapper, other: _Wrapper) -> _Wrapper:
+    """Both wrappers in one; tokens of one side are optional, and go if most of eight pages or more lack them."""
+    tokens, counts, i, j = [], [], 0, 0
+    for x, y in [*matches(one[0], other[0]), (len(one[0]), len(other[0]))]:
+        tokens += one[0][i:x] + other[0][j:y]
+        counts += one[1][i:x] + other[1][j:y]
+        if x < len(one[0]):
+            tokens.append(one[0][x])
+            counts.append(one[1][x] + other[1][y])
+        i, j = x + 1, y + 1
+    pages = one[2] + other[2]
+    if pages >= 8:
+        kept = [n for n, c in enumerate(counts) if 2 * c >= pages]
+        tokens, counts = [tokens[n] for n in kept], [counts[n] for n in kept]
+    return tokens, counts, pages, one[3] + other[3]
+
+
+def merged(wrappers: list[_Wrapper]) -> _Wrapper:
+    """Neighbours are aligned two by two until one is left."""
+    while len(wrappers) > 1:
+        wrappers = [_aligned(*wrappers[n : n + 2]) if n + 1 < len(wrappers) else wrappers[n] for n in range(0, len(wrappers), 2)]
+    return wrappers[0]
+
+
+def _template(wrapper: _Wrapper) -> list[int]:
+    """Tokens on nine of ten pages and ``TEMPLATE_PAGES`` at least; none if they make up most of the pages, which are then versions of one text."""
+    tokens, counts, pages, total = wrapper
+    kept = [t for t, c in zip(tokens, counts) if c >= TEMPLATE_PAGES and 10 * c >= 9 * pages]
+    return [] if 2 * len(kept) * pages > total else kept
+
+
+def _page_slots(page: str) -> tuple[bool, int, dict[str, tuple[int, int, int]], list[int]]:
+    """Whether a page has a main element, a hash of its texts, hash, characters and linked characters of each path, and its folded tokens.
 
     Furniture is left out, so copies under other urls and menus have one hash.
     """
@@ -261,7 +362,8 @@ def _page_slots(page: str) -> tuple[bool, int, dict[str, tuple[int, int, int]]]:
         slot[2] += linked
     whole = "\0".join(x for path, text, _ in found for x in (path, text)).encode("utf-8", "surrogatepass")
     closed = {path: (_signed(h.intdigest()), chars, linked) for path, (h, chars, linked) in slots.items()}
-    return any(_in_main(path) for path in slots), _signed(xxhash.xxh64_intdigest(whole)), closed
+    tokens = [t for t, _, _ in folded([_key(path, text) for path, text, _ in found])]
+    return any(_in_main(path) for path in slots), _signed(xxhash.xxh64_intdigest(whole)), closed, tokens
 
 
 def _signed(digest: int) -> int:
@@ -271,15 +373,16 @@ def _signed(digest: int) -> int:
 def infer_wrapper(pages: list[str]) -> dict:
     """Wrapper of a list of pages of one host: its expression, and what is known of its slots as in :func:`host_wrappers`.
 
-    The expression shows the template; texts are chosen by the slots alone.
+    The expression shows the paths of the template; texts are chosen by its tokens and slots.
     """
     wrapper: list[tuple] = []
+    streams: dict[int, list[int]] = {}
     seen: dict[str, dict[int, tuple]] = {}
     framed = False
     for n, page in enumerate(pages):
         stream = _fold([("#", path) for path, _, _ in blocks(page)])
         wrapper = [(t, False) for t in stream] if n == 0 else align(wrapper, stream)
-        own, key, slots = _page_slots(page)
+        own, key, slots, streams[key] = _page_slots(page)
         framed |= own
         for path, slot in {} if own else slots.items():
             seen.setdefault(path, {})[key] = slot
@@ -291,20 +394,29 @@ def infer_wrapper(pages: list[str]) -> dict:
         elif len(s) > 1 and 0 < 2 * sum(linked) < sum(chars):
             slots[path] = True
     shown = " ".join(_shown(t) + ("?" if o else "") for t, o in wrapper)
-    return {"expression": shown, "framed": framed, "slots": slots}
+    template = _template(merged([(t, [1] * len(t), 1, len(t)) for _, t in sorted(streams.items())])) if streams else []
+    return {"expression": shown, "framed": framed, "slots": slots, "template": template}
 
 
 def main_text(page: str | None, wrapper: dict | None) -> str:
     """Article text of one page.
 
-    Where it has an article or main element, that is what stands inside and is
+    Blocks that the wrapper has in the same order are template. Where the page
+    has an article or main element, the text is what else stands inside and is
     no furniture. Else it is what is no furniture, no template slot of the
     wrapper, and is not mostly links unless its slot is known for texts. A
     page with nothing but templates keeps them.
     """
     found = [(path, text, linked) for path, text, linked in blocks(page or "") if not is_furniture(path)]
-    slots = (wrapper or {}).get("slots", {})
-    if any(_in_main(path) for path, _, _ in found):
+    slots, template = (wrapper or {}).get("slots", {}), (wrapper or {}).get("template", [])
+    framed = any(_in_main(path) for path, _, _ in found)
+    if template:
+        stream = folded([_key(path, text) for path, text, _ in found])
+        constant = {n for i, _ in matches([t for t, _, _ in stream], template) for n in range(*stream[i][1:])}
+        own = [block for n, block in enumerate(found) if n not in constant]
+        if any(_in_main(path) for path, _, _ in own) if framed else own:
+            found = own
+    if framed:
         return " ".join(text for path, text, _ in found if _in_main(path))
     loose = [(slots.get(path), text) for path, text, linked in found if 2 * linked < len(text) or slots.get(path)]
     return " ".join(text for known, text in loose if known is not False) or " ".join(text for _, text in loose)
@@ -315,29 +427,74 @@ def host(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_STREAM = pa.schema(
+    [
+        ("host", pa.string()), ("page", pa.int64()), ("tokens", pa.list_(pa.int64())),
+        ("slots", pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())]))),
+    ]
+)
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for name, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-            framed, key, slots = _page_slots(page.as_py())
-            rows += [(name, path, key, *slot) for path, slot in ({} if framed else slots).items()]
-        columns = zip(*rows) if rows else [()] * 6
-        types = [pa.string(), pa.string(), *[pa.int64()] * 4]
-        arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-        yield pa.RecordBatch.from_arrays(arrays, ["host", "path", "page", "text", "chars", "linked"])
+            framed, key, slots, tokens = _page_slots(page.as_py())
+            found = [] if framed else [dict(zip(("path", "text", "chars", "linked"), (path, *slot))) for path, slot in slots.items()]
+            rows.append({"host": name, "page": key, "tokens": tokens, "slots": found})
+        yield pa.RecordBatch.from_pylist(rows, _STREAM)
+
+
+def _merge_group(table: pa.Table) -> pa.Table:
+    rows = sorted(table.to_pylist(), key=lambda r: r["place"])
+    tokens, counts, pages, total = merged([(r["tokens"], r["counts"], r["pages"], r["total"]) for r in rows])
+    return pa.table(
+        {
+            "host": pa.array([rows[0]["host"]], pa.string()), "place": pa.array([rows[0]["part"]], pa.int64()),
+            "tokens": pa.array([tokens], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())),
+            "pages": pa.array([pages], pa.int64()), "total": pa.array([total], pa.int64()),
+        }
+    )
+
+
+def _templates(streams: DataFrame) -> DataFrame:
+    """``host, template`` from the distinct streams of each host, aligned ``FAN`` or so at a time in as many rounds as the largest host takes."""
+    sizes = streams.groupBy("host").agg(F.countDistinct("page").alias("n"))
+    left = sizes.agg(F.max("n")).first()[0] or 0
+    once = streams.groupBy("host", "page").agg(F.min("tokens").alias("tokens"))
+    ones = F.transform("tokens", lambda _: F.lit(1).cast("long"))
+    rows = once.join(sizes, "host").select(
+        "host", F.col("page").alias("place"), "tokens", ones.alias("counts"), F.lit(1).cast("long").alias("pages"),
+        F.size("tokens").cast("long").alias("total"), F.pmod(F.xxhash64("page"), F.ceil(F.col("n") / FAN)).alias("part"),
+    )
+    schema = "host string, place long, tokens array<long>, counts array<long>, pages long, total long"
+    while True:
+        wrappers = rows.groupBy("host", "part").applyInArrow(_merge_group, schema)
+        left = -(-left // FAN)
+        if left <= 1:
+            break
+        rows = wrappers.withColumn("part", F.expr(f"place div {FAN}"))
+    found = F.udf(lambda t, c, n, total: _template((t, c, n, total)), "array<long>")
+    return wrappers.select("host", found("tokens", "counts", "pages", "total").alias("template")).where("size(template) > 0")
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` (JSON) of each host that has pages without an article or main element.
-
-    Slots are block paths; all those pages count, and pages of equal texts
-    count once. A slot is false (template) where it has one text on
-    ``TEMPLATE_PAGES`` pages or more, and true where it holds links but more
-    text than links; others are not listed. Rows of a host are combined before
-    they meet, first by page and then by path.
+    """``host, wrapper`` (JSON) of each host that has a template or known slots.
+
+    The template are the tokens of the host's aligned streams that nearly all its
+    distinct pages have; counts of the alignment are lower bounds. Slots are block
+    paths of pages without an article or main element. A slot is false (template)
+    where it has one text on ``TEMPLATE_PAGES`` pages or more, and true where it
+    holds links but more text than links; others are not listed. Pages of equal
+    texts count once. Rows of a host are combined before they meet, first by page
+    and then by path.
     """
     html = pages.where("html is not null").select(host().alias("host"), "html")
-    rows = html.mapInArrow(_slot_rows, "host string, path string, page long, text long, chars long, linked long")
+    path = scratch_path(pages.sparkSession, "page-streams")
+    schema = "host string, page long, tokens array<long>, slots array<struct<path:string,text:long,chars:long,linked:long>>"
+    html.mapInArrow(_streams, schema).write.parquet(path)
+    streams = pages.sparkSession.read.schema(schema).parquet(path)
+    rows = streams.select("host", "page", F.inline("slots"))
     once = rows.groupBy("host", "path", "page").agg(F.min("text").alias("text"), F.min("chars").alias("chars"), F.min("linked").alias("linked"))
     totals = once.groupBy("host", "path").agg(
         F.count("*").alias("pages"), (F.min("text") == F.max("text")).alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
@@ -345,8 +502,9 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     template = F.col("same") & (F.col("pages") >= TEMPLATE_PAGES)
     mixed = (F.col("pages") > 1) & (F.col("linked") > 0) & (2 * F.col("linked") < F.col("chars"))
     known = totals.where(template | mixed).select("host", "path", (~template).alias("kept"))
-    listed = F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "kept"))))
-    return known.groupBy("host").agg(F.to_json(F.struct(listed.alias("slots"))).alias("wrapper"))
+    listed = known.groupBy("host").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "kept")))).alias("slots"))
+    both = listed.join(_templates(streams), "host", "full")
+    return both.select("host", F.to_json(F.struct("slots", "template")).alias("wrapper"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
