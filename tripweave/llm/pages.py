@@ -460,7 +460,12 @@ def _merge_group(table: pa.Table) -> pa.Table:
 def _templates(streams: DataFrame) -> DataFrame:
     """``host, template`` from the distinct streams of each host, aligned ``FAN`` or so at a time in as many rounds as the largest host takes."""
     sizes = streams.groupBy("host").agg(F.countDistinct("page").alias("n"))
+    path = scratch_path(streams.sparkSession, "host-sizes")
+    sizes.write.parquet(path)
+    sizes = streams.sparkSession.read.schema(sizes.schema).parquet(path)
     left = sizes.agg(F.max("n")).first()[0] or 0
+    if fits_broadcast(sizes, F.octet_length("host") + 64, 32 * 1024 * 1024):
+        sizes = F.broadcast(sizes)
     once = streams.groupBy("host", "page").agg(F.min("tokens").alias("tokens"))
     ones = F.transform("tokens", lambda _: F.lit(1).cast("long"))
     rows = once.join(sizes, "host").select(
@@ -469,7 +474,8 @@ def _templates(streams: DataFrame) -> DataFrame:
     )
     schema = "host string, place long, tokens array<long>, counts array<long>, pages long, total long"
     while True:
-        wrappers = rows.groupBy("host", "part").applyInArrow(_merge_group, schema)
+        # a join by host leaves a host in one place; its groups are dealt out anew
+        wrappers = rows.repartition("host", "part").groupBy("host", "part").applyInArrow(_merge_group, schema)
         left = -(-left // FAN)
         if left <= 1:
             break
